@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, stored, words
+from tessera.llm.common import documents, stored, words
 
 #: Statistics are kept as multiples of 1/SCALE.
 SCALE = 1024
@@ -63,17 +63,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     d = d.withColumn("_p", F.sort_array("_p"))
     covered = F.aggregate(F.transform("_p", lambda p, j: F.least(F.lit(3), F.coalesce(at("_p", j + 1) - p, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return d.withColumn(
-        "_q",
-        F.struct(
-            F.col("_n").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            F.coalesce(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
-            (F.size("_ln") - F.size(F.array_distinct("_ln"))).cast("long").alias("n_dup_lines"),
-            covered.alias("n_repeat_words"),
-            F.size("_ln").cast("long").alias("n_lines"),
-        ),
-    ).drop("_w", "_n", "_ln", "_s", "_b", "_p")
+    q = F.struct(
+        F.col("_n").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.coalesce(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
+        (F.size("_ln") - F.size(F.array_distinct("_ln"))).cast("long").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"),
+        F.size("_ln").cast("long").alias("n_lines"),
+    )
+    # a generator, so that the optimizer doesn't copy these expressions into later filters, once for each use
+    return d.select(*docs.columns, F.explode_outer(F.array(q)).alias("_q"))
 
 
 def failed(q: str = "_q") -> Column:
@@ -205,6 +204,4 @@ def keep(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    from tessera.llm.common import documents
-
     return assess(documents(spark, sf_dir))
