@@ -10,7 +10,8 @@ breaks ties by another hash; a pair is a candidate only if it shares a prefix to
    that have none left under some order can link with nothing and drop out too.
 3. Each bucket of the first order has a hub, the node of the most frequent tokens. Two
    candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair. A
-   group's members come as differences from the hub's set, which are short for near copies.
+   group's members come as differences from the hub's set, which are short for near copies. Hubs' sets
+   are files that workers map, so no set of another node is ever sent.
 4. Within a group the orders' filters are intersected, then survivors are verified exactly:
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the hub need no test with each other, as
    only components are asked for. Groups over BLOCK members are cut into pairs of blocks.
@@ -19,8 +20,8 @@ breaks ties by another hash; a pair is a candidate only if it shares a prefix to
 Nothing is capped: buckets of any size are handled, and no pair of two linked texts is lost.
 
 Defined cases: a text of fewer words than n is one token; null and blank texts are empty sets, linked
-with nothing; rows that share a doc_id are one document; a null doc_id takes part, and its component
-is the smallest doc_id there (null if none); an empty table gives no rows.
+with nothing; rows that share a doc_id are one document; a text without a doc_id is linked by an equal
+set only, and its component is the smallest doc_id there (null if none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from tessera.llm.common import Files, documents, scratch, stored
 ORDERS = 3
 CELLS, PAGE = 1 << 20, 1 << 16  # counters of the sketch, and counters in a row of it
 BLOCK = 2048  # members of a group that are compared in one task
-NEEDED = 64  # files of the sorted nodes whose sets are wanted
+NEEDED = 64  # files of sorted nodes, at least
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -145,63 +146,109 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
     return docs.mapInArrow(run, "token long, ord byte, node long, typical int")
 
 
-def _write_nodes(nodes: DataFrame, root: str) -> None:
-    """Sorted files of (node, doc_id): where the set of a node is to be read."""
+def _shards(rows: int) -> int:
+    return max(NEEDED, min(1 << 16, rows // 2000))
+
+
+def _write_nodes(nodes: DataFrame, root: str, shards: int) -> None:
+    """Sorted files of (node, doc_id): which document a node's set is read from; of their hubs too, if given."""
+    listed = "hubs" in nodes.columns
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values("node")
         s = int(r["shard"].iloc[0])
-        Files(root).write(f"node{s}", [r["node"].to_numpy(np.int64).tobytes()])
-        Files(root).write(f"doc{s}", [r["doc_id"].to_numpy(np.int64).tobytes()])
+        files = Files(root)
+        files.write(f"node{s}", [r["node"].to_numpy(np.int64).tobytes()])
+        files.write(f"doc{s}", [r["doc_id"].to_numpy(np.int64).tobytes()])
+        if listed:
+            files.write(f"at{s}", [np.concatenate([[0], np.cumsum(r["hubs"].map(len))]).astype(np.int64).tobytes()])
+            files.write(f"hubs{s}", [np.concatenate(r["hubs"].tolist()).astype(np.int64).tobytes()])
         return pd.DataFrame({"shard": [s]})
 
-    nodes.withColumn("shard", F.pmod("node", F.lit(NEEDED)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").collect()  # NEEDED rows at most
+    nodes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+
+
+def _write_sets(sets: DataFrame, root: str, shards: int) -> None:
+    """Sorted files of nodes, and their tokens one after another."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.drop_duplicates("node").sort_values("node")
+        s = int(r["shard"].iloc[0])
+        tokens = [blocks.unpack_sorted(b) for b in r["tokens"]]
+        files = Files(root)
+        files.write(f"set{s}", [r["node"].to_numpy(np.int64).tobytes()])
+        files.write(f"setat{s}", [np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64).tobytes()])
+        files.write(f"tokens{s}", [t.tobytes() for t in tokens])
+        return pd.DataFrame({"shard": [s]})
+
+    sets.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+
+
+class _Mapped:
+    """Lookups in the files, mapped when first asked for."""
 
+    def __init__(self, root: str, shards: int):
+        self.files, self.shards, self.maps = Files(root), shards, {}
 
-def _wanted_sets(docs: DataFrame, n: int, root: str) -> DataFrame:
+    def array(self, name: str, shard: int, dtype=np.int64) -> np.ndarray:
+        if (name, shard) not in self.maps:
+            try:
+                self.maps[name, shard] = np.memmap(self.files.path(f"{name}{shard}"), dtype, "r")
+            except FileNotFoundError:
+                self.maps[name, shard] = np.zeros(0, dtype)
+        return self.maps[name, shard]
+
+    def place(self, name: str, x: int) -> tuple[int, int]:
+        """Shard and place of x, -1 if it isn't there."""
+        shard = x % self.shards
+        keys = self.array(name, shard)
+        at = int(np.searchsorted(keys, x))
+        return shard, at if at < len(keys) and keys[at] == x else -1
+
+    def wanted(self, x: int, doc) -> tuple[int, int]:
+        shard, at = self.place("node", x)
+        return shard, at if at >= 0 and self.array("doc", shard)[at] == doc else -1
+
+
+def _wanted_sets(docs: DataFrame, n: int, root: str, shards: int) -> DataFrame:
     """(node, tokens) of the nodes in the files, read from the one document that stands for each."""
 
     def run(batches):
-        files, maps = Files(root), {}
+        m = _Mapped(root, shards)
         for batch, sets in _sets(batches, n):
-            ids = batch.column("doc_id").to_pylist()
             out = []
-            for doc, s in zip(ids, sets, strict=True):
-                if doc is None or not len(s):
-                    continue
-                x = int(node(s))
-                shard = x % NEEDED
-                if shard not in maps:
-                    try:
-                        maps[shard] = [np.memmap(files.path(f"{k}{shard}"), np.int64, "r") for k in ("node", "doc")]
-                    except FileNotFoundError:
-                        maps[shard] = [np.zeros(0, np.int64)] * 2
-                at = int(np.searchsorted(maps[shard][0], x))
-                if at < len(maps[shard][0]) and maps[shard][0][at] == x and maps[shard][1][at] == doc:
+            for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
+                if len(s) and m.wanted(x := int(node(s)), doc)[1] >= 0:
                     out.append((x, blocks.pack_sorted(s)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "tokens"])
 
-    return docs.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, tokens binary")
 
 
-def _differences(pairs: DataFrame) -> DataFrame:
-    """Replace (tokens, hub_tokens) by sizes and the packed symmetric difference."""
+def _differences(docs: DataFrame, n: int, root: str, shards: int, hub_root: str, hub_shards: int) -> DataFrame:
+    """For each node in the files and each of its hubs: sizes and the packed symmetric difference of their sets."""
+    names = ["hub", "node", "n", "hub_n", "delta"]
 
     def run(batches):
-        for b in batches:
-            rows = b.to_pydict()
-            sizes, bases, out = [], [], []
-            last = (None, None)
-            for x, h in zip(rows["tokens"], rows["hub_tokens"], strict=True):
-                if last[0] != h:
-                    last = (h, blocks.unpack_sorted(h))
-                mine = blocks.unpack_sorted(x)
-                sizes.append(len(mine))
-                bases.append(len(last[1]))
-                out.append(blocks.pack_sorted(np.setxor1d(mine, last[1], assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("node"), b.column("sig"), pa.array(sizes, pa.int64()), pa.array(bases, pa.int64()), pa.array(out, pa.binary())], names=["hub", "node", "sig", "n", "hub_n", "delta"])
-
-    return pairs.mapInArrow(run, "hub long, node long, sig array<long>, n long, hub_n long, delta binary")
+        m, h = _Mapped(root, shards), _Mapped(hub_root, hub_shards)
+        for batch, sets in _sets(batches, n):
+            out = []
+            for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
+                if not len(s):
+                    continue
+                shard, at = m.wanted(x := int(node(s)), doc)
+                if at < 0:
+                    continue
+                first, last = m.array("at", shard)[at : at + 2]
+                for hub in m.array("hubs", shard)[first:last].tolist():
+                    hs, place = h.place("set", hub)
+                    begin, end = h.array("setat", hs)[place : place + 2]
+                    base = np.asarray(h.array("tokens", hs, np.uint64)[begin:end])
+                    out.append((hub, x, len(s), len(base), blocks.pack_sorted(np.setxor1d(s, base, assume_unique=True))))
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return docs.mapInArrow(run, "hub long, node long, n long, hub_n long, delta binary")
 
 
 class _Union:
@@ -281,7 +328,7 @@ def links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataF
     nodes = scan.filter("page = -1").select("doc_id", "n", "node")
 
     by = W.partitionBy("token")
-    posts = _postings(docs, n, num, den, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
+    posts = _postings(docs.filter("doc_id is not null"), n, num, den, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
     posts = posts.withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
     live = posts.select("node", "ord", F.struct("ord", "token").alias("sig"), F.when(F.col("ord") == 0, F.col("hub")).alias("hub")).groupBy("node").agg(
         F.collect_set("sig").alias("sig"), F.collect_set("hub").alias("hubs"), F.count_distinct("ord").alias("k")
@@ -289,17 +336,20 @@ def links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataF
     live = live.filter(F.col("k") == ORDERS)
     # a signature is the tokens with the order in the lowest bits
     sig = F.transform("sig", lambda s: s["token"].bitwiseAND(F.lit(~3)).bitwiseOR(s["ord"].cast("long")))
-    member = stored(live.select("node", sig.alias("sig"), F.explode("hubs").alias("hub")), "jaccard-members")
-    alone = member.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    wanted = member.select("node").union(member.select(F.col("hub").alias("node"))).distinct()
-    stand = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    root = scratch(spark, "jaccard-nodes")
-    _write_nodes(stand.join(wanted, "node"), root)
-    sets = stored(_wanted_sets(docs, n, root), "jaccard-sets")
-
-    pairs = member.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
-    delta = stored(_differences(pairs), "jaccard-deltas")
-    cut = delta.join(alone, "hub").withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
+    member = stored(live.select("node", sig.alias("sig"), "hubs"), "jaccard-members")
+    pairs = member.select("node", F.explode("hubs").alias("hub"))
+    held = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
+    pairs = stored(pairs.join(held, "hub"), "jaccard-pairs")
+    stand = stored(nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-stand")
+    hubs = pairs.select(F.col("hub").alias("node")).distinct()
+    root, hub_root, set_root = (scratch(spark, f"jaccard-{x}") for x in ("nodes", "hubs", "sets"))
+    shards, hub_shards = _shards(pairs.count()), _shards(held.count())
+    _write_nodes(stand.join(hubs, "node"), hub_root, hub_shards)
+    _write_sets(_wanted_sets(docs, n, hub_root, hub_shards), set_root, hub_shards)
+    _write_nodes(stand.join(pairs.groupBy("node").agg(F.collect_list("hub").alias("hubs")), "node"), root, shards)
+    delta = stored(_differences(docs, n, root, shards, set_root, hub_shards), "jaccard-deltas")
+    cut = delta.join(pairs, ["hub", "node"]).join(member.select("node", "sig"), "node")
+    cut = cut.withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     cut = cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -351,24 +401,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
 
     The ids that go are written as sorted files and mapped by the workers, so texts are not shuffled.
     """
-    gone = join(docs, n, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias("node"), "doc_id").distinct()
-    root = scratch(docs.sparkSession, "jaccard-gone")
-    _write_nodes(gone, root)
+    gone = stored(join(docs, n, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias("node"), "doc_id").distinct(), "jaccard-gone")
+    root, shards = scratch(docs.sparkSession, "jaccard-gone"), _shards(gone.count())
+    _write_nodes(gone, root, shards)
 
     def run(batches):
-        maps: dict = {}
+        m = _Mapped(root, shards)
         for batch in batches:
             ids = batch.column("doc_id")
             known, x = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy().astype(np.int64)
             out = np.zeros(len(x), bool)
-            for shard in np.unique(x % NEEDED).tolist():
-                if shard not in maps:
-                    try:
-                        maps[shard] = np.memmap(Files(root).path(f"node{shard}"), np.int64, "r")
-                    except FileNotFoundError:
-                        maps[shard] = np.zeros(0, np.int64)
-                pick = np.flatnonzero(x % NEEDED == shard)
-                out[pick] = blocks.find(maps[shard], x[pick])[1]
+            for shard in np.unique(x % shards).tolist():
+                pick = np.flatnonzero(x % shards == shard)
+                out[pick] = blocks.find(m.array("node", shard), x[pick])[1]
             yield batch.filter(pa.array(~(out & known)))
 
     return docs.mapInArrow(run, docs.schema)
