@@ -1,13 +1,14 @@
 """N-gram Jaccard self-join of documents by prefixes under several global token orders.
 
-A document is the set of hashes of its word n-grams. Two sets of Jaccard t or more share a token
-among the first |x| - ceil(t |x|) + 1 of each, whatever total order the tokens have. Here each of
-several orders puts rare tokens first (by a fixed-size counting sketch of all documents) and
-breaks ties by another hash; a pair is a candidate only if it shares a prefix token under every one.
+A document is the set of hashes of its word n-grams. Two sets of Jaccard t or more have at least
+a(x) = ceil(t |x|) tokens in common, so, whatever total order the tokens have, the first l of these are among
+the first |x| - a(x) + l of x, and likewise of y: the prefixes, for l(x) a third of |x| - a(x) + 1, share
+min(l(x), l(y)) tokens. Here each of several orders puts rare tokens first (by a fixed-size counting
+sketch of all documents) and breaks ties by another hash; a candidate must pass under every one.
 
 1. ``node``: documents of equal sets are one node (a hash of the set), so copies meet once.
 2. Prefix tokens of all orders are dealt by token; tokens held by one node drop out, and nodes
-   that have none left under some order can link with nothing and drop out too.
+   that have too few left under some order can link with nothing and drop out too.
 3. Each bucket of the first order has a hub, the node of the most frequent tokens. Two
    candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair. A
    group's members come as differences from the hub's set, which are short for near copies. Hubs' sets
@@ -116,34 +117,41 @@ def _sketch(scan: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts / usual, 2.0))).astype(np.uint8) - np.uint8(1)
 
 
+def _least(n: int, num: int, den: int) -> int:
+    """Tokens of the intersection that the prefix of a set of n holds."""
+    return max(1, (n - (num * n + den - 1) // den + 1) // 3)
+
+
 def _prefix(n: int, num: int, den: int) -> int:
-    return n - (num * n + den - 1) // den + 1
+    return min(n, n - (num * n + den - 1) // den + _least(n, num, den))
 
 
-def _postings(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
-    """(token, order, node, typical): the prefix tokens of each node under each order."""
+def _postings(docs: DataFrame, n: int, num: int, den: int, orders: int, levels) -> DataFrame:
+    """(token, ord, node, need, typical): the prefix tokens of each node under each order, and how many of them a partner must have."""
 
     def run(batches):
         rank = levels.value
         for _, sets in _sets(batches, n):
-            token, order, owner, typical = [], [], [], []
+            token, order, owner, need, typical = [], [], [], [], []
             for s in sets:
                 if not len(s):
                     continue
                 p, level = _prefix(len(s), num, den), rank[_cell(s)]
+                fewest = _least(-(-num * len(s) // den), num, den)  # a partner is no smaller than that
                 heavy = int(level.sum(dtype=np.int64) * 1000 // len(s))
-                for k in range(ORDERS):
+                for k in range(orders):
                     tie = blocks.mix(s + np.uint64(k + 1))
                     key = (tie >> np.uint64(8)) | (level.astype(np.uint64) << np.uint64(56))
                     first = np.argpartition(key, p - 1)[:p] if p < len(s) else slice(None)
                     token.append(tie[first])
                     order.append(np.full(p, k, np.int8))
                     owner.append(np.full(p, node(s)))
-                    typical.append(np.full(p, heavy, np.int64))
+                    need.append(np.full(p, fewest, np.int32))
+                    typical.append(np.full(p, heavy, np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(order)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(typical).astype(np.int32))], names=["token", "ord", "node", "typical"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(order)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(need)), pa.array(np.concatenate(typical))], names=["token", "ord", "node", "need", "typical"])
 
-    return docs.mapInArrow(run, "token long, ord byte, node long, typical int")
+    return docs.mapInArrow(run, "token long, ord byte, node long, need int, typical int")
 
 
 def _shards(rows: int) -> int:
@@ -295,15 +303,14 @@ def group_links(nodes, sizes, deltas, sigs, hub: int, hub_n: int, num: int, den:
     rest = np.flatnonzero(~near)
     if not len(rest):
         return edges
-    shared = [_postings_of([s[k] for s in sigs]) for k in range(ORDERS)]
+    shared = [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
+    least = np.array([_least(int(x), num, den) for x in sizes])
     common = _postings_of(deltas)
     for i in rest.tolist():
         able = np.ones(m, bool)
         for lists in shared:  # the filters of all orders, intersected before any set is looked at
-            has = np.zeros(m, bool)
-            for x in lists(i):
-                has[x] = True
-            able &= has
+            held = lists(i)
+            able &= (np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, int)) >= np.minimum(least, least[i])
             if not able.any():
                 break
         able[i] = False
@@ -319,7 +326,7 @@ def group_links(nodes, sizes, deltas, sigs, hub: int, hub_n: int, num: int, den:
     return edges
 
 
-def links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and edges (a, b) between nodes that span the components of linked sets."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -328,12 +335,13 @@ def links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataF
     nodes = scan.filter("page = -1").select("doc_id", "n", "node")
 
     by = W.partitionBy("token")
-    posts = _postings(docs.filter("doc_id is not null"), n, num, den, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
+    posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
     posts = posts.withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
-    live = posts.select("node", "ord", F.struct("ord", "token").alias("sig"), F.when(F.col("ord") == 0, F.col("hub")).alias("hub")).groupBy("node").agg(
-        F.collect_set("sig").alias("sig"), F.collect_set("hub").alias("hubs"), F.count_distinct("ord").alias("k")
+    live = posts.select("node", "ord", "need", F.struct("ord", "token").alias("sig"), F.when(F.col("ord") == 0, F.col("hub")).alias("hub")).groupBy("node").agg(
+        F.collect_set("sig").alias("sig"), F.collect_set("hub").alias("hubs"), F.max("need").alias("need")
     )
-    live = live.filter(F.col("k") == ORDERS)
+    for k in range(orders):
+        live = live.filter(F.size(F.filter("sig", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
     # a signature is the tokens with the order in the lowest bits
     sig = F.transform("sig", lambda s: s["token"].bitwiseAND(F.lit(~3)).bitwiseOR(s["ord"].cast("long")))
     member = stored(live.select("node", sig.alias("sig"), "hubs"), "jaccard-members")
@@ -354,7 +362,7 @@ def links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataF
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sig_ = [s.astype(np.int64) for s in rows["sig"]]
-        sigs = [[s[(s & 3) == k] for k in range(ORDERS)] for s in sig_]
+        sigs = [[s[(s & 3) == k] for k in range(orders)] for s in sig_]
         found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], sigs, int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
@@ -382,11 +390,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of equal set) of every row of docs."""
-    if not 0 < num <= den or n < 1:
-        raise ValueError("the least similarity must be in (0, 1], n positive")
-    nodes, edges = links(docs, n, num, den)
+    if not 0 < num <= den or n < 1 or not 1 <= orders <= 4:
+        raise ValueError("the least similarity must be in (0, 1], n positive, and orders 1 to 4")
+    nodes, edges = links(docs, n, num, den, orders)
     roots = components(edges)
     by_node = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     by_node = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -396,12 +404,12 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, orders: int = 2) -> DataFrame:
     """The rows of docs without those whose doc_id is not the smallest of its component.
 
     The ids that go are written as sorted files and mapped by the workers, so texts are not shuffled.
     """
-    gone = stored(join(docs, n, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias("node"), "doc_id").distinct(), "jaccard-gone")
+    gone = stored(join(docs, n, num, den, orders).filter("component_id <> doc_id").select(F.col("doc_id").alias("node"), "doc_id").distinct(), "jaccard-gone")
     root, shards = scratch(docs.sparkSession, "jaccard-gone"), _shards(gone.count())
     _write_nodes(gone, root, shards)
 
