@@ -7,8 +7,8 @@ min(l(x), l(y)) tokens. Here each of several orders puts rare tokens first (by a
 sketch of all documents) and breaks ties by another hash; a candidate must pass under every one.
 
 1. ``node``: documents of equal sets are one node (a hash of the set), so copies meet once.
-2. Prefix tokens of all orders are dealt by token; tokens held by one node drop out, and nodes
-   that have too few left under some order can link with nothing and drop out too.
+2. Prefix tokens of all orders are dealt by token and size class (partners lie in one); tokens held by
+   one node drop out, and nodes that have too few left under some order drop out too.
 3. Each bucket of the first order has a hub, the node of the most frequent tokens. Two
    candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair. A
    group's members come as differences from the hub's set, which are short for near copies. Hubs' sets
@@ -126,32 +126,37 @@ def _prefix(n: int, num: int, den: int) -> int:
     return min(n, n - (num * n + den - 1) // den + _least(n, num, den))
 
 
+def _bands(n: int, num: int, den: int) -> list[int]:
+    """Size classes, by doubling: a set's own, and the next if a partner may lie there."""
+    own = n.bit_length()
+    return [own, own + 1] if den * n >= num * (1 << own) else [own]
+
+
 def _postings(docs: DataFrame, n: int, num: int, den: int, orders: int, levels) -> DataFrame:
-    """(token, ord, node, need, typical): the prefix tokens of each node under each order, and how many of them a partner must have."""
+    """(token, ord, band, node, need, typical): prefix tokens by order and size class, and how many of them a partner must have."""
+    names = ["token", "ord", "band", "node", "need", "typical"]
 
     def run(batches):
         rank = levels.value
         for _, sets in _sets(batches, n):
-            token, order, owner, need, typical = [], [], [], [], []
+            parts: list[list] = [[] for _ in names]
             for s in sets:
                 if not len(s):
                     continue
-                p, level = _prefix(len(s), num, den), rank[_cell(s)]
+                p, level, own = _prefix(len(s), num, den), rank[_cell(s)], node(s)
                 fewest = _least(-(-num * len(s) // den), num, den)  # a partner is no smaller than that
                 heavy = int(level.sum(dtype=np.int64) * 1000 // len(s))
                 for k in range(orders):
                     tie = blocks.mix(s + np.uint64(k + 1))
                     key = (tie >> np.uint64(8)) | (level.astype(np.uint64) << np.uint64(56))
                     first = np.argpartition(key, p - 1)[:p] if p < len(s) else slice(None)
-                    token.append(tie[first])
-                    order.append(np.full(p, k, np.int8))
-                    owner.append(np.full(p, node(s)))
-                    need.append(np.full(p, fewest, np.int32))
-                    typical.append(np.full(p, heavy, np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(order)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(need)), pa.array(np.concatenate(typical))], names=["token", "ord", "node", "need", "typical"])
+                    for band in _bands(len(s), num, den):
+                        for part, x, kind in zip(parts, (blocks.mix(tie[first] + np.uint64(band)).view(np.int64), k, band, own, fewest, heavy), (np.int64, np.int8, np.int8, np.int64, np.int32, np.int32), strict=True):
+                            part.append(x if isinstance(x, np.ndarray) else np.full(p, x, kind))
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
 
-    return docs.mapInArrow(run, "token long, ord byte, node long, need int, typical int")
+    return docs.mapInArrow(run, "token long, ord byte, band byte, node long, need int, typical int")
 
 
 def _shards(rows: int) -> int:
@@ -336,27 +341,28 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
 
     by = W.partitionBy("token")
     posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
-    posts = posts.withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
-    live = posts.select("node", "ord", "need", F.struct("ord", "token").alias("sig"), F.when(F.col("ord") == 0, F.col("hub")).alias("hub")).groupBy("node").agg(
-        F.collect_set("sig").alias("sig"), F.collect_set("hub").alias("hubs"), F.max("need").alias("need")
-    )
+    posts = posts.withColumn("_df", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
+    live = posts.groupBy("node", "band").agg(F.collect_set(F.struct("ord", "_df", "token", "hub")).alias("held"), F.max("need").alias("need"))
     for k in range(orders):
-        live = live.filter(F.size(F.filter("sig", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
+        live = live.filter(F.size(F.filter("held", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
+    # Partners share ``need`` tokens of the first order or more; by bucket size, the first of those is not among either's last need - 1.
+    first = F.array_sort(F.filter("held", lambda s: s["ord"] == 0))
+    hubs = F.array_distinct(F.transform(F.slice(first, F.lit(1), F.size(first) - F.col("need") + 1), lambda s: s["hub"]))
     # a signature is the tokens with the order in the lowest bits
-    sig = F.transform("sig", lambda s: s["token"].bitwiseAND(F.lit(~3)).bitwiseOR(s["ord"].cast("long")))
-    member = stored(live.select("node", sig.alias("sig"), "hubs"), "jaccard-members")
-    pairs = member.select("node", F.explode("hubs").alias("hub"))
-    held = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
-    pairs = stored(pairs.join(held, "hub"), "jaccard-pairs")
+    sig = F.transform("held", lambda s: s["token"].bitwiseAND(F.lit(~3)).bitwiseOR(s["ord"].cast("long")))
+    member = stored(live.select("node", "band", sig.alias("sig"), hubs.alias("hubs")), "jaccard-members")
+    pairs = member.select("node", "band", F.explode("hubs").alias("hub"))
+    held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
+    pairs = stored(pairs.join(held, ["hub", "band"]), "jaccard-pairs")
     stand = stored(nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-stand")
     hubs = pairs.select(F.col("hub").alias("node")).distinct()
     root, hub_root, set_root = (scratch(spark, f"jaccard-{x}") for x in ("nodes", "hubs", "sets"))
-    shards, hub_shards = _shards(pairs.count()), _shards(held.count())
+    shards, hub_shards = _shards(pairs.count()), _shards(hubs.count())
     _write_nodes(stand.join(hubs, "node"), hub_root, hub_shards)
     _write_sets(_wanted_sets(docs, n, hub_root, hub_shards), set_root, hub_shards)
-    _write_nodes(stand.join(pairs.groupBy("node").agg(F.collect_list("hub").alias("hubs")), "node"), root, shards)
+    _write_nodes(stand.join(pairs.groupBy("node").agg(F.collect_set("hub").alias("hubs")), "node"), root, shards)
     delta = stored(_differences(docs, n, root, shards, set_root, hub_shards), "jaccard-deltas")
-    cut = delta.join(pairs, ["hub", "node"]).join(member.select("node", "sig"), "node")
+    cut = delta.join(pairs, ["hub", "node"]).join(member.select("node", "band", "sig"), ["node", "band"])
     cut = cut.withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     cut = cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
 
@@ -366,7 +372,7 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
         found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], sigs, int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    edges = cut.select("hub", "_i", "_j", "node", "sig", "n", "hub_n", "delta").groupBy("hub", "_i", "_j").applyInPandas(compare, "a long, b long")
+    edges = cut.select("hub", "band", "_i", "_j", "node", "sig", "n", "hub_n", "delta").groupBy("hub", "band", "_i", "_j").applyInPandas(compare, "a long, b long")
     return nodes, stored(edges.distinct(), "jaccard-edges")
 
 
