@@ -13,7 +13,8 @@ sketch of all documents) and breaks ties by another hash; a candidate must pass
    candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair. A
    group's members come as differences from the hub's set, which are short for near copies. Hubs' sets
    are files that workers map, so no set of another node is ever sent.
-4. Within a group the orders' filters are intersected, then survivors are verified exactly:
+4. Within a group the orders' filters are intersected on the prefixes alone, and members without a
+   candidate leave before any set is read. The candidates of the others are verified exactly:
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the hub need no test with each other, as
    only components are asked for. Groups over BLOCK members are cut into pairs of blocks.
 5. Components of the links, by distributed star contraction.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm import blocks
 from tessera.llm.common import Files, documents, scratch, stored
 
-ORDERS = 3
+ORDERS = 2
 CELLS, PAGE = 1 << 20, 1 << 16  # counters of the sketch, and counters in a row of it
 BLOCK = 2048  # members of a group that are compared in one task
 NEEDED = 64  # files of sorted nodes, at least
@@ -331,6 +332,33 @@ def group_links(nodes, sizes, deltas, sigs, hub: int, hub_n: int, num: int, den:
     return edges
 
 
+def partners(sigs, sizes, num: int, den: int) -> np.ndarray:
+    """Members that have a candidate partner in their group: of like size, and with enough tokens in common under every order."""
+    m = len(sigs)
+    sizes = np.asarray(sizes)
+    least = np.array([_least(int(x), num, den) for x in sizes])
+    shared = [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
+    out = np.zeros(m, bool)
+    for i in range(m):
+        if out[i]:
+            continue
+        able = den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i])
+        for lists in shared:
+            held = lists(i)
+            able &= (np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, int)) >= np.minimum(least, least[i])
+        able[i] = False
+        if able.any():
+            out[i] = True
+            out |= able
+    return out
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Cut groups of m members into pairs of blocks; a member goes to each pair that its block is in."""
+    cut = rows.withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
+    return cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+
+
 def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and edges (a, b) between nodes that span the components of linked sets."""
     spark = docs.sparkSession
@@ -353,6 +381,16 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     member = stored(live.select("node", "band", sig.alias("sig"), hubs.alias("hubs")), "jaccard-members")
     pairs = member.select("node", "band", F.explode("hubs").alias("hub"))
     held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
+    split = lambda rows: [[x[(x & 3) == k] for k in range(orders)] for x in (s.astype(np.int64) for s in rows["sig"])]
+
+    def able(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.loc[partners(split(rows), rows["n"].to_numpy(), num, den), ["hub", "band", "node"]]
+
+    sizes = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    wide = pairs.join(held, ["hub", "band"]).join(member.select("node", "band", "sig").join(sizes, "node"), ["node", "band"])
+    pairs = _cells(wide).select("hub", "band", "_i", "_j", "node", "sig", "n").groupBy("hub", "band", "_i", "_j").applyInPandas(able, "hub long, band byte, node long").distinct()
+    pairs = stored(pairs, "jaccard-able")
+    held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m"))
     pairs = stored(pairs.join(held, ["hub", "band"]), "jaccard-pairs")
     stand = stored(nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-stand")
     hubs = pairs.select(F.col("hub").alias("node")).distinct()
@@ -362,14 +400,11 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     _write_sets(_wanted_sets(docs, n, hub_root, hub_shards), set_root, hub_shards)
     _write_nodes(stand.join(pairs.groupBy("node").agg(F.collect_set("hub").alias("hubs")), "node"), root, shards)
     delta = stored(_differences(docs, n, root, shards, set_root, hub_shards), "jaccard-deltas")
-    cut = delta.join(pairs, ["hub", "node"]).join(member.select("node", "band", "sig"), ["node", "band"])
-    cut = cut.withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    cut = cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    signed = pairs.join(member.select("node", "band", "sig"), ["node", "band"])
+    cut = _cells(signed.join(delta, ["hub", "node"]))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig_ = [s.astype(np.int64) for s in rows["sig"]]
-        sigs = [[s[(s & 3) == k] for k in range(orders)] for s in sig_]
-        found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], sigs, int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
+        found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], split(rows), int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     edges = cut.select("hub", "band", "_i", "_j", "node", "sig", "n", "hub_n", "delta").groupBy("hub", "band", "_i", "_j").applyInPandas(compare, "a long, b long")
