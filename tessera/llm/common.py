@@ -49,8 +49,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of what df reads, as the optimizer sees it."""
-    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    """Size of what df reads, as the optimizer sees it; 256 MB where it cannot tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, size) if size < 1 << 60 else 1 << 28
 
 
 def remove(spark: SparkSession, path: str) -> None:

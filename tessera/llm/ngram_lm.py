@@ -265,7 +265,9 @@ def train(docs: DataFrame) -> Model:
     second = pairs.filter("shard = -1").agg(*[F.sum(c).alias(c) for c in cols]).first()
     first = pairs.filter("shard >= 0").groupBy("shard").applyInPandas(write_contexts, "shard int, " + ", ".join(f"{c} long" for c in cols)).collect()
     heavy_rows = pairs.filter("shard = -2").groupBy("n3p").agg(*[F.sum(c).alias(c) for c in cols[:4]]).collect()  # one a heavy context
-    model.heavy_stats = np.array([[r.n1, r.n2, r.n3, r.n4] for r in sorted(heavy_rows, key=lambda r: r.n3p)], float).reshape(-1, 4)
+    model.heavy_stats = np.zeros((len(model.heavy), 4))  # a heavy word that is no context, such as the end, keeps zeros
+    for r in heavy_rows:
+        model.heavy_stats[np.searchsorted(model.heavy, np.uint64(r.n3p))] = [r.n1, r.n2, r.n3, r.n4]
     model.d2 = _discounts([second[c] or 0 for c in cols])
     n = [sum(r[c] for r in first) for c in cols]
     model.d1, model.unigram = _discounts(n), (n[5], n[0], n[1], n[4])
