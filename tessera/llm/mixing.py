@@ -6,10 +6,11 @@ dual variable. The dual is convex, and Newton's step for a source needs its word
 words only: one distributed sum by source, after which every iteration is local to the source's row.
 
 Rates become whole copies. All documents of a source get the whole part; in the order of a hash of
-doc_id, documents get one more until the target is full, and the gap that is left takes the
-largest remaining documents that fit, the last of them the nearest in size. What a source's documents get therefore follows from a few
-values (whole part, limit of the hash, up to four ids), so copies are decided row by row: documents are
-joined with one small row for each source and never shuffled by source.
+doc_id, documents get one more until the target is full. A small pool of documents of every size on both
+sides of that limit, a few of each power of two, is then chosen anew: largest first, whatever still fits,
+from several starting sizes, and one over the target where that is nearer. What a source's documents get
+therefore follows from a few values (whole part, limit of the hash, ids of the pool), so copies are decided
+row by row: documents are joined with one small row for each source and never shuffled by source.
 
 Defined cases: null or blank text has size 0 and is taken 0 times over; a null source is a source of
 its own, last in order; a source without words has target 0; rows that share a doc_id are decided
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, stored
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-FILLS, BUCKETS = 4, 3  # documents that fill the gap; hex digits of the hash by which sums are gathered
+BUCKETS = 3  # hex digits of the hash by which sums are gathered
+POOL, STARTS = 8, 32  # documents of a power of two on each side of the limit that are chosen anew; starting sizes tried
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,29 +84,44 @@ def plan(rows: DataFrame) -> DataFrame:
     limit = over.groupBy("_s").agg(F.min("_k").alias("limit")).withColumnRenamed("_s", "_ls")
     s = s.join(limit, s["_s"].eqNullSafe(limit["_ls"]), "left").drop("_ls").withColumn("limit", F.coalesce("limit", F.lit("g")))
     s = s.withColumn("limit", F.when(F.col("_gap") > 0, F.col("limit")).otherwise(F.lit("")))
-    s = stored(s.withColumn("extra", F.array().cast("array<string>")), "mixing-limits")
-
-    for k in range(FILLS + 1):
-        p = s.withColumnRenamed("_s", "_ps").drop("source_size", "weight", "rate")
-        left = rows.join(p, rows["_s"].eqNullSafe(p["_ps"])).drop("_ps")
-        if k == 0:
-            took = left.groupBy("_s").agg(F.sum(F.when(F.col("_k") < F.col("limit"), F.col("size")).otherwise(0)).alias("took"))
-            pick = took.select(F.col("_s").alias("_ps"), F.col("took"), F.lit(None).cast("string").alias("id"))
-        else:
-            most = F.col("_gap") if k < FILLS else 2 * F.col("_gap")  # the last one may lie over, if that is nearer
-            best = left.filter((F.col("_k") >= F.col("limit")) & (F.col("size") > 0) & (F.col("size") <= most) & ~F.array_contains("extra", F.col("_k")))
-            best = best.groupBy("_s", "_k").agg(F.sum("size").alias("size"), F.max("_gap").alias("_gap")).filter(F.col("size") <= most)
-            best = best.groupBy("_s").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "_k", "size")).alias("b"))
-            pick = best.select(F.col("_s").alias("_ps"), F.col("b.size").alias("took"), F.col("b._k").alias("id"))
-        s = s.join(pick, s["_s"].eqNullSafe(pick["_ps"]), "left").drop("_ps")
-        s = s.withColumn("_gap", F.col("_gap") - F.coalesce("took", F.lit(0))).withColumn("extra", F.when(F.col("id").isNotNull(), F.array_append("extra", F.col("id"))).otherwise(F.col("extra"))).drop("took", "id")
-        s = stored(s, f"mixing-fill{k}")
-    return s
+    return _chosen(rows, stored(s, "mixing-limits"))
+
+
+def _chosen(rows: DataFrame, s: DataFrame) -> DataFrame:
+    """Add to s extra (ids from the limit on that get one more copy) and without (ids before it that do not)."""
+    p = s.filter("_gap > 0").select(F.col("_s").alias("_ps"), "_gap", "limit")
+    side = rows.join(p, rows["_s"].eqNullSafe(p["_ps"])).filter("size > 0").withColumn("_in", F.col("_k") < F.col("limit"))
+    nearest = W.partitionBy("_s", "_in", F.length(F.bin("size"))).orderBy(F.when(~F.col("_in"), F.col("_k")), F.when(F.col("_in"), F.col("_k")).desc())
+    keys = side.withColumn("_i", F.row_number().over(nearest)).filter(F.col("_i") <= POOL).select("_ps", F.col("_k").alias("_pk")).distinct()
+    took = side.filter("_in").groupBy("_ps").agg(F.sum("size").alias("took"))
+    pool = rows.join(keys, rows["_s"].eqNullSafe(keys["_ps"]) & (rows["_k"] == keys["_pk"])).groupBy("_ps", "_k").agg(F.sum("size").alias("z"))
+    pool = pool.groupBy("_ps").agg(F.reverse(F.array_sort(F.collect_list(F.struct("z", F.col("_k").alias("k"))))).alias("pool"))
+
+    q = p.join(pool.withColumnRenamed("_ps", "_qs"), F.col("_ps").eqNullSafe(F.col("_qs"))).drop("_qs")
+    took = took.withColumnRenamed("_ps", "_qs")
+    q = q.join(took, F.col("_ps").eqNullSafe(F.col("_qs")), "left").drop("_qs")
+    back = F.aggregate(F.filter("pool", lambda x: x["k"] < F.col("limit")), F.lit(0).cast("long"), lambda n, x: n + x["z"])
+    q = q.withColumn("_open", F.col("_gap") - F.coalesce("took", F.lit(0)) + back)
+    none = F.struct(F.col("_open").alias("gap"), F.array().cast("array<string>").alias("ids"))
+    fit = lambda a, x: F.when(x["z"] <= a["gap"], F.struct((a["gap"] - x["z"]).alias("gap"), F.array_append(a["ids"], x["k"]).alias("ids"))).otherwise(a)
+    tries = F.transform(F.sequence(F.lit(1), F.least(F.lit(STARTS), F.size("pool"))), lambda i: F.struct(i.alias("i"), F.aggregate(F.slice("pool", i, F.size("pool")), none, fit).alias("a")))
+    rest = lambda t: F.try_element_at(F.filter("pool", lambda x: (x["z"] > t["a"]["gap"]) & ~F.array_contains(t["a"]["ids"], x["k"])), F.lit(-1))
+    tries = F.transform(tries, lambda t: F.struct(t["i"].alias("i"), t["a"].alias("a"), rest(t).alias("o")))
+    over = lambda t: F.coalesce(t["o"]["z"] < 2 * t["a"]["gap"], F.lit(False))
+    tries = F.transform(tries, lambda t: F.struct(
+        F.when(over(t), t["o"]["z"] - t["a"]["gap"]).otherwise(t["a"]["gap"]).alias("off"), t["i"].alias("i"),
+        F.when(over(t), F.array_append(t["a"]["ids"], t["o"]["k"])).otherwise(t["a"]["ids"]).alias("ids"),
+    ))
+    q = q.withColumn("ids", F.array_min(tries)["ids"])
+    q = q.select("_ps", F.filter("ids", lambda k: k >= F.col("limit")).alias("extra"), F.transform(F.filter("pool", lambda x: (x["k"] < F.col("limit")) & ~F.array_contains("ids", x["k"])), lambda x: x["k"]).alias("without"))
+    nothing = F.array().cast("array<string>")
+    s = s.join(q, s["_s"].eqNullSafe(q["_ps"]), "left").drop("_ps")
+    return stored(s.withColumns({c: F.coalesce(c, nothing) for c in ("extra", "without")}), "mixing-choice")
 
 
 def copies() -> Column:
     """Of a row joined with its source's row of plan()."""
-    more = (F.col("_k") < F.col("limit")) | F.array_contains("extra", F.col("_k"))
+    more = (F.col("_k") < F.col("limit")) & ~F.array_contains("without", F.col("_k")) | F.array_contains("extra", F.col("_k"))
     return F.least(F.lit(CAP), F.col("whole") + more.cast("long")).cast("long")
 
 
@@ -123,7 +140,7 @@ def decide(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
     rows = stored(_rows(docs).drop("doc_id"), "mixing-rows")
-    p = plan(rows).select(F.col("_s").alias("_ps"), "limit", "extra", "whole")
+    p = plan(rows).select(F.col("_s").alias("_ps"), "limit", "extra", "without", "whole")
     whole = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_s"), _key().alias("_k"))
     out = whole.join(p, whole["_s"].eqNullSafe(p["_ps"])).withColumn("_c", copies()).filter(F.col("_c") > 0)
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select("_row.*")
@@ -134,17 +151,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    fills = "".join(
-        f""",
-f{k} AS (SELECT source, min(struct_pack(o := abs(gap - size), k := k, z := size)) AS b FROM (
-  SELECT r.source, r.k, sum(size) AS size, max(gap) AS gap FROM r JOIN g{k - 1} g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE r.k >= g.lim AND size > 0 AND size <= {1 + (k == FILLS)} * gap AND NOT list_contains(g.extra, r.k) GROUP BY r.source, r.k) WHERE size <= {1 + (k == FILLS)} * gap GROUP BY source),
-g{k} AS (SELECT g.* REPLACE (gap - coalesce(f.b.z, 0) AS gap, CASE WHEN f.b IS NULL THEN extra ELSE list_append(extra, f.b.k) END AS extra)
-  FROM g{k - 1} g LEFT JOIN f{k} f ON g.source IS NOT DISTINCT FROM f.source)"""
-        for k in range(1, FILLS + 1)
-    )
     return f"""
-WITH r AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+WITH RECURSIVE r AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
     coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s0),
@@ -157,7 +165,20 @@ s6 AS (SELECT *, CASE WHEN whole >= {CAP} THEN 0 ELSE target - whole * source_si
 run AS (SELECT r.*, sum(size) OVER (PARTITION BY source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z FROM r),
 lims AS (SELECT run.source, min(k) FILTER (z > gap) AS lim FROM run JOIN s6 ON run.source IS NOT DISTINCT FROM s6.source GROUP BY run.source),
 s7 AS (SELECT s6.*, CASE WHEN gap > 0 THEN coalesce(lim, 'g') ELSE '' END AS lim FROM s6 LEFT JOIN lims ON s6.source IS NOT DISTINCT FROM lims.source),
-g0 AS (SELECT s7.* REPLACE (gap - coalesce((SELECT sum(size) FROM r WHERE r.source IS NOT DISTINCT FROM s7.source AND r.k < s7.lim), 0) AS gap), []::VARCHAR[] AS extra FROM s7){fills}
+near AS (SELECT r.*, lim, row_number() OVER (PARTITION BY r.source, r.k < lim, length(bin(size)) ORDER BY CASE WHEN r.k >= lim THEN r.k END, CASE WHEN r.k < lim THEN r.k END DESC) AS i
+  FROM r JOIN s7 ON r.source IS NOT DISTINCT FROM s7.source WHERE gap > 0 AND size > 0),
+pool AS (SELECT r.source, r.k, sum(size)::BIGINT AS z FROM r JOIN (SELECT DISTINCT source, k FROM near WHERE i <= {POOL}) p ON r.source IS NOT DISTINCT FROM p.source AND r.k = p.k GROUP BY ALL),
+arr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY z DESC, k DESC) AS i FROM pool),
+g0 AS (SELECT source, lim, gap - coalesce((SELECT sum(size) FROM r WHERE r.source IS NOT DISTINCT FROM s7.source AND r.k < s7.lim), 0)
+  + coalesce((SELECT sum(z) FROM pool WHERE pool.source IS NOT DISTINCT FROM s7.source AND pool.k < s7.lim), 0) AS gap FROM s7 WHERE gap > 0),
+walk AS (SELECT g0.source, arr.i AS st, arr.i - 1 AS i, gap::DOUBLE AS gap, []::VARCHAR[] AS ids FROM g0 JOIN arr ON arr.source IS NOT DISTINCT FROM g0.source WHERE arr.i <= {STARTS}
+  UNION ALL SELECT w.source, st, a.i, CASE WHEN z <= gap THEN gap - z ELSE gap END, CASE WHEN z <= gap THEN list_append(ids, k) ELSE ids END
+  FROM walk w JOIN arr a ON a.source IS NOT DISTINCT FROM w.source AND a.i = w.i + 1),
+ends AS (SELECT w.*, (SELECT min((z, k)) FROM arr a WHERE a.source IS NOT DISTINCT FROM w.source AND z > w.gap AND NOT list_contains(ids, a.k)) AS o
+  FROM walk w WHERE i = (SELECT max(a.i) FROM arr a WHERE a.source IS NOT DISTINCT FROM w.source)),
+tries AS (SELECT source, st, CASE WHEN o[1] < 2 * gap THEN o[1] - gap ELSE gap END AS off, CASE WHEN o[1] < 2 * gap THEN list_append(ids, o[2]) ELSE ids END AS ids FROM ends),
+best AS (SELECT source, arg_min(ids, (off, st)) AS ids FROM tries GROUP BY source)
 SELECT doc_id, size, source_size, target, c * size AS taken, c AS copies, rate FROM (
-  SELECT r.*, g.source_size, g.target, g.rate, least({CAP}, whole + (r.k < g.lim OR list_contains(extra, r.k))::BIGINT)::BIGINT AS c
-  FROM r JOIN g{FILLS} g ON r.source IS NOT DISTINCT FROM g.source)"""
+  SELECT r.*, s.source_size, s.target, s.rate, least({CAP}, whole + CASE WHEN pool.k IS NOT NULL THEN list_contains(ids, r.k) ELSE r.k < s.lim END::BIGINT)::BIGINT AS c
+  FROM r JOIN s7 s ON r.source IS NOT DISTINCT FROM s.source LEFT JOIN best ON best.source IS NOT DISTINCT FROM r.source
+  LEFT JOIN pool ON pool.source IS NOT DISTINCT FROM r.source AND pool.k = r.k)"""
