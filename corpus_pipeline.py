@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("secrets", redacted), ("mixing", mixed), ("packing", packed)]
 
-#: The tokenizer cannot be expressed in SQL; tests hold run() against a brute-force version.
+#: The tokenizer cannot be expressed in SQL; a test holds the stages against plain versions of what they promise.
 ORACLE_SQL = None
 
 
