@@ -165,8 +165,7 @@ def _shards(rows: int) -> int:
 
 
 def _write_nodes(nodes: DataFrame, root: str, shards: int) -> None:
-    """Sorted files of (node, doc_id): which document a node's set is read from; of their hubs too, if given."""
-    listed = "hubs" in nodes.columns
+    """Sorted files of (node, doc_id): which document a node's set is read from."""
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values("node")
@@ -174,14 +173,28 @@ def _write_nodes(nodes: DataFrame, root: str, shards: int) -> None:
         files = Files(root)
         files.write(f"node{s}", [r["node"].to_numpy(np.int64).tobytes()])
         files.write(f"doc{s}", [r["doc_id"].to_numpy(np.int64).tobytes()])
-        if listed:
-            files.write(f"at{s}", [np.concatenate([[0], np.cumsum(r["hubs"].map(len))]).astype(np.int64).tobytes()])
-            files.write(f"hubs{s}", [np.concatenate(r["hubs"].tolist()).astype(np.int64).tobytes()])
         return pd.DataFrame({"shard": [s]})
 
     nodes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
 
 
+def _write_members(members: DataFrame, root: str, shards: int) -> None:
+    """Sorted files of (node, doc_id, band), and their hubs with group sizes and their signatures one after another."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.sort_values(["node", "band"])
+        s = int(r["shard"].iloc[0])
+        files = Files(root)
+        for name, column, kind in (("node", "node", np.int64), ("doc", "doc_id", np.int64), ("band", "band", np.int8)):
+            files.write(f"{name}{s}", [r[column].to_numpy(kind).tobytes()])
+        for name, kind in (("hubs", np.int64), ("ms", np.int64), ("sig", np.int32)):
+            files.write(f"{name}at{s}", [np.concatenate([[0], np.cumsum(r[name].map(len))]).astype(np.int64).tobytes()])
+            files.write(f"{name}{s}", [np.concatenate(r[name].tolist()).astype(kind).tobytes()])
+        return pd.DataFrame({"shard": [s]})
+
+    members.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+
+
 def _write_sets(sets: DataFrame, root: str, shards: int) -> None:
     """Sorted files of nodes, and their tokens one after another."""
 
@@ -240,8 +253,8 @@ def _wanted_sets(docs: DataFrame, n: int, root: str, shards: int) -> DataFrame:
 
 
 def _differences(docs: DataFrame, n: int, root: str, shards: int, hub_root: str, hub_shards: int) -> DataFrame:
-    """For each node in the files and each of its hubs: sizes and the packed symmetric difference of their sets."""
-    names = ["hub", "node", "n", "hub_n", "delta"]
+    """For each member in the files and each of its hubs: group size, signature, sizes of both sets and their packed symmetric difference."""
+    kinds = {"hub": pa.int64(), "band": pa.int8(), "node": pa.int64(), "m": pa.int64(), "sig": pa.list_(pa.int32()), "n": pa.int64(), "hub_n": pa.int64(), "delta": pa.binary()}
 
     def run(batches):
         m, h = _Mapped(root, shards), _Mapped(hub_root, hub_shards)
@@ -253,16 +266,22 @@ def _differences(docs: DataFrame, n: int, root: str, shards: int, hub_root: str,
                 shard, at = m.wanted(x := int(node(s)), doc)
                 if at < 0:
                     continue
-                first, last = m.array("at", shard)[at : at + 2]
-                for hub in m.array("hubs", shard)[first:last].tolist():
-                    hs, place = h.place("set", hub)
-                    begin, end = h.array("setat", hs)[place : place + 2]
-                    base = np.asarray(h.array("tokens", hs, np.uint64)[begin:end])
-                    out.append((hub, x, len(s), len(base), blocks.pack_sorted(np.setxor1d(s, base, assume_unique=True))))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
-
-    return docs.mapInArrow(run, "hub long, node long, n long, hub_n long, delta binary")
+                keys, known = m.array("node", shard), {}
+                while at < len(keys) and keys[at] == x:  # a row a size class
+                    first, last = m.array("hubsat", shard)[at : at + 2]
+                    begin, end = m.array("sigat", shard)[at : at + 2]
+                    sig, band = m.array("sig", shard, np.int32)[begin:end], int(m.array("band", shard, np.int8)[at])
+                    for hub, size in zip(m.array("hubs", shard)[first:last].tolist(), m.array("ms", shard)[first:last].tolist(), strict=True):
+                        if hub not in known:
+                            hs, place = h.place("set", hub)
+                            begin, end = h.array("setat", hs)[place : place + 2]
+                            base = np.asarray(h.array("tokens", hs, np.uint64)[begin:end])
+                            known[hub] = len(base), blocks.pack_sorted(np.setxor1d(s, base, assume_unique=True))
+                        out.append((hub, band, x, size, sig, len(s), *known[hub]))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+    return docs.mapInArrow(run, "hub long, band byte, node long, m long, sig array<int>, n long, hub_n long, delta binary")
 
 
 class _Union:
@@ -370,14 +389,15 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     by = W.partitionBy("token")
     posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
     posts = posts.withColumn("_df", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
-    live = posts.groupBy("node", "band").agg(F.collect_set(F.struct("ord", "_df", "token", "hub")).alias("held"), F.max("need").alias("need"))
+    # dealt as plain rows: partial sets of single tokens would be larger
+    live = posts.select("node", "band", "ord", "_df", "token", "hub", "need").repartition("node", "band").groupBy("node", "band").agg(F.collect_set(F.struct("ord", "_df", "token", "hub")).alias("held"), F.max("need").alias("need"))
     for k in range(orders):
         live = live.filter(F.size(F.filter("held", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
     # Partners share ``need`` tokens of the first order or more; by bucket size, the first of those is not among either's last need - 1.
     first = F.array_sort(F.filter("held", lambda s: s["ord"] == 0))
     hubs = F.array_distinct(F.transform(F.slice(first, F.lit(1), F.size(first) - F.col("need") + 1), lambda s: s["hub"]))
-    # a signature is the tokens with the order in the lowest bits
-    sig = F.transform("held", lambda s: s["token"].bitwiseAND(F.lit(~3)).bitwiseOR(s["ord"].cast("long")))
+    # a signature is 30 bits of each token and the order in the lowest two: tokens that fall together can only add candidates
+    sig = F.transform("held", lambda s: ((s["token"].bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4 + s["ord"]).cast("int"))
     member = stored(live.select("node", "band", sig.alias("sig"), hubs.alias("hubs")), "jaccard-members")
     pairs = member.select("node", "band", F.explode("hubs").alias("hub"))
     held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
@@ -398,10 +418,10 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     shards, hub_shards = _shards(pairs.count()), _shards(hubs.count())
     _write_nodes(stand.join(hubs, "node"), hub_root, hub_shards)
     _write_sets(_wanted_sets(docs, n, hub_root, hub_shards), set_root, hub_shards)
-    _write_nodes(stand.join(pairs.groupBy("node").agg(F.collect_set("hub").alias("hubs")), "node"), root, shards)
-    delta = stored(_differences(docs, n, root, shards, set_root, hub_shards), "jaccard-deltas")
-    signed = pairs.join(member.select("node", "band", "sig"), ["node", "band"])
-    cut = _cells(signed.join(delta, ["hub", "node"]))
+    at = pairs.groupBy("node", "band").agg(F.sort_array(F.collect_list(F.struct("hub", "m"))).alias("at"))
+    at = at.join(member.select("node", "band", "sig"), ["node", "band"]).join(stand, "node")
+    _write_members(at.select("node", "doc_id", "band", F.col("at.hub").alias("hubs"), F.col("at.m").alias("ms"), "sig"), root, shards)
+    cut = _cells(_differences(docs, n, root, shards, set_root, hub_shards))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], split(rows), int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
