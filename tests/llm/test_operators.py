@@ -74,6 +74,19 @@ def test_against_sql(spark, name, sql, keys):
     assert got == {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, {', '.join(keys)} FROM ({sql})").fetchall()}
 
 
+@pytest.mark.parametrize("n, num, orders, block", [(3, 90, 3, 2), (5, 80, 2, 2)])
+def test_join_in_small_blocks(spark, monkeypatch, n, num, orders, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = sorted(map(tuple, jaccard_join.join(documents(spark, SF), n, num, 100, orders).collect()))
+    assert got == sorted(con.execute(f"SELECT doc_id, n_shingles, component_id, class_id FROM ({jaccard_join.sql(n, num, 100)})").fetchall())
+
+
+def test_empty_join(spark, odd):
+    assert jaccard_join.join(odd.limit(0)).count() == 0
+
+
 def test_small_shards_fit(spark):
     rows = sharding.assign(documents(spark, SF), 30_000).collect()
     held = collections.defaultdict(int)
