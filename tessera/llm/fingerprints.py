@@ -25,7 +25,9 @@ HASHES, HASH_BITS = 8, 40
 #: Counters lie seven in a long, nine bits each, for nine shifts of each of two 64-bit hashes.
 LANE, FIELDS = 9, 7
 SPREAD = sum(1 << LANE * i for i in range(FIELDS))
-LANE_MASK, OUT_MASK, HASH_MASK = (1 << LANE) - 1, (1 << 16) - 1, (1 << HASH_BITS) - 1
+#: A text has under 2**31 bytes, so counters of 32 bits hold its word pairs without wrapping; ``likeness`` rests on that.
+LANE_MASK, OUT_BITS, HASH_MASK = (1 << LANE) - 1, 32, (1 << HASH_BITS) - 1
+OUT_MASK = (1 << OUT_BITS) - 1
 PART = (1 << LANE) - 1  # word pairs that are summed before counters are unpacked, so that none overflows
 ROWS_PER_CHUNK, CHUNKS, FINE = 2000, 4096, 64
 
@@ -70,7 +72,7 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 def as_text(n: Column, lanes: Column, hashes: Column) -> Column:
     low = lambda c, w: F.lower(F.lpad(F.hex(c), w, "0"))
-    return F.concat(low(n, 8), F.array_join(F.transform(hashes, lambda x: low(x, HASH_BITS // 4)), ""), F.array_join(F.transform(lanes, lambda x: low(x, 4)), ""))
+    return F.concat(low(n, 8), F.array_join(F.transform(hashes, lambda x: low(x, HASH_BITS // 4)), ""), F.array_join(F.transform(lanes, lambda x: low(x, OUT_BITS // 4)), ""))
 
 
 def likeness(n1: Column, l1: Column, h1: Column, n2: Column, l2: Column, h2: Column) -> Column:

@@ -214,3 +214,23 @@ def test_fingerprints(spark, texts):
     f = {r.doc_id: r for r in fingerprints.fingerprint(pair, ["doc_id"]).collect()}
     assert (f[1].lanes, f[1].hashes) == (f[2].lanes, f[2].hashes)
     assert [a - b for a, b in zip(f[1].lanes, f[3].lanes, strict=True)] == f[4].lanes
+
+
+def test_fingerprints_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    a, b = (" ".join(f"{c}{x}" for x in rng.integers(0, 10**6, 210_000)) for c in "ab")
+    k = len(a) // 4
+    texts = {1: a, 2: b, 3: a[: len(a) - k] + b[:k]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = docs.select("doc_id", F.explode(fingerprints.word_pairs(F.col("text"))).alias("h")).select("doc_id", "h", F.xxhash64("h", F.lit(1)).alias("h2")).toPandas()
+    shifts = [np.uint64(f * fingerprints.LANE + s) for s in range(fingerprints.LANE) for f in range(fingerprints.FIELDS)]
+    bits = lambda h: [int(((h >> x) & np.uint64(1)).sum()) for x in shifts]
+    want = {i: bits(g["h"].to_numpy().view(np.uint64)) + bits(g["h2"].to_numpy().view(np.uint64)) for i, g in pairs.groupby("doc_id")}
+    got = {r.doc_id: r for r in fingerprints.fingerprint(docs, ["doc_id"]).collect()}
+    assert all(got[i].n == len(texts[i].split()) and got[i].lanes == want[i] for i in texts)
+    way = {i: 2.0 * np.array(want[i]) - len(texts[i].split()) for i in texts}
+    cosine = lambda i, j: max(0.0, way[i] @ way[j] / np.linalg.norm(way[i]) / np.linalg.norm(way[j]))
+    rows = {r.doc_id: r for r in fingerprints.compare(docs.filter("doc_id < 3")).collect()}
+    assert math.isclose(rows[1].near_next, cosine(1, 2), abs_tol=1e-9) and math.isclose(rows[1].near_edited, cosine(1, 3), abs_tol=1e-9)
+    assert rows[1].near_next < 0.5 < rows[1].near_edited
+    assert rows[1].fingerprint.endswith("".join(f"{x:08x}" for x in want[1]))
