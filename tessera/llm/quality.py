@@ -8,8 +8,9 @@ and bin crosses the network, whatever the group's size. Statistics are fixed-poi
 the moments are exact and reruns agree.
 
 Defined cases: a null, blank or short text fails the base rules. A null language or source is a
-group of its own. Groups under ``least`` rows are pooled by language, then together; a pooled group
-that is still smaller rejects nothing. Repeated rows count each time. Other columns are not looked at.
+group of its own. Groups under ``least`` rows are judged by all rows of their language, and languages under it by
+all rows of the table, however few: the floors keep any covariance regular. Rows that fail the base rules are in
+no estimate. Repeated rows count each time. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ FLOOR = (0.08, 0.3, 0.4, 0.4)
 CORE, CONSISTENT = 0.75, 1.486
 #: Squared distance beyond which a text goes: chi2 with 4 degrees exceeds it once in 2e7.
 CUT = 40.0
-LEAST, STEPS = 200, 4
-D = len(FLOOR)
+D, STEPS = len(FLOOR), 4
+#: Rows of a group or language that has an estimate of its own: five for each dimension.
+LEAST = 5 * D
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 SYMBOLS = r"[#*$%&|<>]"
 POSITION = (1 << 21) - 1
@@ -161,14 +163,15 @@ def _start(rows: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, least: int = LEAST, steps: int = STEPS) -> DataFrame:
     """Estimates by key of language and source (``_k``) from rows of ``_k``, ``_lang``, ``_x*``.
 
-    Keys whose pooled group stays under ``least`` rows have none.
+    A key under ``least`` rows takes the estimate of all rows of its language, or else of all rows.
     """
-    sizes = stats.groupBy("_k", "_lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("_g", F.when(F.col("n") >= least, F.concat(F.lit("s"), F.col("_k"))).otherwise(F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("-")))))
-    sizes = sizes.withColumn("n", F.sum("n").over(W.partitionBy("_g"))).withColumn("_g", F.when(F.col("n") >= least, F.col("_g")).otherwise(F.lit("all")))
-    sizes = sizes.withColumn("n", F.sum("n").over(W.partitionBy("_g"))).filter(F.col("n") >= least)
-    groups = stored(sizes.select("_k", "_g"), "quality-groups")
-    rows = stats.join(groups, "_k").select("_g", *[f"_x{i}" for i in range(D)])
+    sizes = stats.groupBy("_k", "_lang").agg(F.count(F.lit(1)).alias("n")).withColumn("_nl", F.sum("n").over(W.partitionBy("_lang")))
+    own, lang, every = F.concat(F.lit("s"), F.col("_k")), F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("-"))), F.lit("all")
+    sizes = sizes.select("_k", F.when(F.col("n") >= least, own).when(F.col("_nl") >= least, lang).otherwise(every).alias("_g"), F.array(own, lang, every).alias("_in"))
+    groups = stored(sizes, "quality-groups")
+    pools = stored(groups.select("_k", F.explode("_in").alias("_g")).join(groups.select("_g").distinct(), "_g", "left_semi"), "quality-pools")
+    groups = groups.drop("_in")
+    rows = stats.join(pools, "_k").select("_g", *[f"_x{i}" for i in range(D)])
     params = stored(_start(rows), "quality-start")
     for k in range(steps):
         params = stored(_step(rows, params, CONSISTENT), f"quality-step{k}")
@@ -180,7 +183,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame, params: DataFrame, cut: float) -> DataFrame:
-    """Add ``_d2`` and ``_kept``; those without an estimate stay unless the base rules fail."""
+    """Add ``_d2`` and ``_kept``; those without an estimate fail the base rules."""
     seen = distance(rows.join(params, "_k", "left"))
     return seen.withColumn("_kept", ~F.col("_failed") & F.coalesce(F.col("_d2") <= cut, F.lit(True)))
 

@@ -113,6 +113,48 @@ def test_quality_statistics(spark, texts):
         assert not (r.kept and r.base_failed)
 
 
+def plain_kept(rows, texts):
+    """Ids kept by minimum covariance determinants of sorted distances, by key, language or table of LEAST rows."""
+
+    def logs(r):
+        lines = sum(WORD.search(x) is not None for x in texts[r.doc_id].split("\n"))
+        return [math.log((r.word_chars + 1) / (r.n_words + 1)), math.log(1 + 100 * r.n_symbols / (r.word_chars + 1)), math.log(1 + 10 * r.n_dup_lines / (lines + 1)), math.log(1 + 10 * r.n_repeat_words / (r.n_words + 1))]
+
+    def distances(x, pool):
+        m, cov = np.median(pool, 0), np.diag(np.square(quality.FLOOR))
+        for _ in range(20):
+            z = pool - m
+            core = pool[np.argsort((z @ np.linalg.inv(cov) * z).sum(1), kind="stable")[: math.ceil(quality.CORE * len(pool))]]
+            m, cov = core.mean(0), np.cov(core.T, bias=True) * quality.CONSISTENT + np.diag(np.square(quality.FLOOR))
+        return ((x - m) @ np.linalg.inv(cov) * (x - m)).sum(1)
+
+    good = [r for r in rows if not r.base_failed]
+    x, kept = np.array([logs(r) for r in good]), set()
+    for key in {(r.lang, r.source) for r in good}:
+        mine, same = np.array([(r.lang, r.source) == key for r in good]), np.array([r.lang == key[0] for r in good])
+        pool = next(p for p in (mine, same, np.full(len(good), True)) if p.sum() >= quality.LEAST or p.all())
+        kept |= {good[i].doc_id for i, d in zip(np.flatnonzero(mine), distances(x[mine], x[pool]), strict=True) if d <= quality.CUT}
+    return kept
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_against_plain_estimates(spark, sf):
+    docs = documents(spark, f"/root/testdata/{sf}")
+    rows = quality.assess(docs).join(docs.select("doc_id", "lang", "source", "text"), "doc_id").collect()
+    kept = plain_kept(rows, {r.doc_id: r.text or "" for r in rows})
+    assert {r.doc_id for r in rows if r.kept} == kept and len(kept) < sum(not r.base_failed for r in rows)
+
+
+def test_quality_of_a_rare_language_and_a_small_table(spark):
+    rng = np.random.default_rng(1)
+    text = lambda junk: " ".join(("#%&" if junk and k % 2 else "") + "x" * (4 + rng.integers(0, 3)) + str(rng.integers(0, 10**6)) for k in range(80))
+    rare = [(i, text(i == 0), "la", f"s{i}") for i in range(5)]
+    many = [(100 + i, text(False), "en", "s") for i in range(300)]
+    for rows in (rare, rare + many):
+        got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert not got[0].kept and all(r.kept for i, r in got.items() if i) and all(r.distance is not None for r in got.values())
+
+
 def test_language_model_sums_to_one_and_base(spark, texts):
     rows = {r.doc_id: r for r in ngram_lm.op2(spark, SF).collect()}
     c = collections.Counter()
