@@ -4,8 +4,8 @@ Training counts byte trigrams of words (letters, A-Z lowered, with their edges)
 fixed number of hashed cells: a task sends pages of its counters, so what is gathered depends
 on the number of languages alone. A text is then a mixture: each word comes from one language with the
 text's proportion of it, and has the product of its trigrams' probabilities there. The proportions are
-fitted by EM for all languages, then again within the largest one, two and three; the set
-with the best likelihood, less a price for each further language, is taken.
+fitted by EM for all languages, then again within the largest one, two and so on, as long as any text can gain;
+the set with the best likelihood, less a price for each further language, is taken with the proportions in it.
 
 Training is on all labelled rows, without sampling. Defined cases: null texts, texts without a letter,
 and any text where nothing was learned are ``und`` with score 0; rows without a language are not learned
@@ -25,7 +25,7 @@ from tessera.llm.common import documents, stored
 
 CELLS, PAGE = 1 << 17, 1 << 14
 SMOOTH = 0.2
-STEPS, SETS = 12, 3
+STEPS, AGAIN = 12, 4
 #: What a further language must add to the log-likelihood: for each word, and times the log of their number.
 PER_WORD, PER_LOG = 0.15, 1.0
 #: Letters keep their byte (A-Z lowered; bytes of other scripts too), all else parts words.
@@ -96,7 +96,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def mixtures(cell: np.ndarray, starts: np.ndarray, rows: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by text (rows without words: zeros), and the chosen set as a mask."""
+    """Proportions by text within the chosen set (rows without words: zeros), and that set as a mask."""
     n, k = len(rows) - 1, logs.shape[1]
     shares, chosen = np.zeros((n, k)), np.zeros((n, k), bool)
     size = np.diff(rows)
@@ -110,8 +110,8 @@ def mixtures(cell: np.ndarray, starts: np.ndarray, rows: np.ndarray, logs: np.nd
     heads = np.concatenate([[0], np.cumsum(size[full])[:-1]])
     level = np.add.reduceat(best[:, 0].astype(np.float64), heads)
 
-    def fit(mask: np.ndarray, steps: int):
-        p = mask / mask.sum(1, keepdims=True)
+    def fit(p: np.ndarray, steps: int):
+        p = p / p.sum(1, keepdims=True)
         for _ in range(steps):
             r = like * p[owner].astype(np.float32)
             r /= np.maximum(r.sum(1, keepdims=True), np.float32(1e-30))
@@ -119,17 +119,20 @@ def mixtures(cell: np.ndarray, starts: np.ndarray, rows: np.ndarray, logs: np.nd
         total = np.maximum((like * p[owner].astype(np.float32)).sum(1), np.float32(1e-30))
         return p, np.add.reduceat(np.log(total.astype(np.float64)), heads) + level
 
-    p, _ = fit(np.ones((len(full), k)), STEPS)
-    order = np.argsort(-p, 1, kind="stable")
-    top, won = np.full(len(full), -np.inf), np.zeros((len(full), k), bool)
-    for m in range(1, min(SETS, k) + 1):
+    every, _ = fit(np.ones((len(full), k)), STEPS)
+    order = np.argsort(-every, 1, kind="stable")
+    price = PER_WORD * size[full] + PER_LOG * np.log(size[full] + 1)
+    top, won, held = np.full(len(full), -np.inf), np.zeros((len(full), k), bool), np.zeros((len(full), k))
+    for m in range(1, k + 1):
+        if not (level - (m - 1) * price > top).any():  # no set is likelier than each word's best language
+            break
         mask = np.zeros((len(full), k))
         np.put_along_axis(mask, order[:, :m], 1.0, 1)
-        _, value = fit(mask, 4 if m > 1 else 0)
-        value = value - (m - 1) * (PER_WORD * size[full] + PER_LOG * np.log(size[full] + 1))
+        p, value = fit(every * mask, AGAIN if m > 1 else 0)
+        value = value - (m - 1) * price
         better = value > top
-        top[better], won[better] = value[better], mask[better] > 0
-    shares[full], chosen[full] = p, won
+        top[better], won[better], held[better] = value[better], mask[better] > 0, p[better]
+    shares[full], chosen[full] = held, won
     return shares, chosen
 
 

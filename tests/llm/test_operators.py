@@ -244,6 +244,18 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_sets_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    letters = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst"}
+    some = lambda lang, n: ["".join(rng.choice(list(letters[lang]), 5)) for _ in range(n)]
+    known = spark.createDataFrame([(i, " ".join(some(x, 2000)), x) for i, x in enumerate(letters)], "doc_id long, text string, lang string")
+    mixes = [{"a": 100}, {"a": 70, "b": 30}, {"a": 40, "b": 20, "c": 20, "d": 20}, {"a": 40, "b": 15, "c": 15, "d": 15, "e": 15}]
+    rows = [(i, " ".join(w for x, n in mix.items() for w in some(x, n))) for i, mix in enumerate(mixes)]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), *language_id.train(known)).collect()}
+    for i, mix in enumerate(mixes):
+        assert (got[i].langs, got[i].lang_pred) == (",".join(mix), "a") and abs(got[i].score - mix["a"] / 100) < 0.02
+
+
 def test_fingerprints(spark, texts):
     ids, rows = sorted(texts), {r.doc_id: r for r in fingerprints.op9(spark, SF).collect()}
     for i, n in zip(ids, [*ids[1:], ids[0]], strict=True):
