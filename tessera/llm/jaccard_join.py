@@ -10,14 +10,18 @@ sketch of all documents) and breaks ties by another hash; a candidate must pass
 2. Prefix tokens of all orders are dealt by token and size class (partners lie in one); tokens held by
    one node drop out, and nodes that have too few left under some order drop out too.
 3. Each bucket of the first order has a hub, the node of the most frequent tokens. Two
-   candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair. A
-   group's members come as differences from the hub's set, which are short for near copies. Hubs' sets
-   are files that workers map, so no set of another node is ever sent.
-4. Within a group the orders' filters are intersected on the prefixes alone, and members without a
-   candidate leave before any set is read. The candidates of the others are verified exactly:
-   |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the hub need no test with each other, as
-   only components are asked for. Groups over BLOCK members are cut into pairs of blocks.
-5. Components of the links, by distributed star contraction.
+   candidates share a bucket, so they share a hub, and groups by hub hold every candidate pair.
+4. Within a group the filters of all orders are intersected on the prefixes alone, with a bound from parity
+   bitmaps: the sets' hashed bits, of which a token that only one set has flips one, so that
+   no more bits differ than tokens do. Members without a candidate leave before any set is read, and those
+   that candidates connect get one of them as their centre.
+5. Workers read each member's text once more, map its centre's set, test the two exactly and keep the
+   difference, which is short for near copies. Members that link with their centre need no test with
+   each other, as only components are asked for; the others are verified against their centre's whole group:
+   |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+6. Components of the links, by distributed star contraction.
+
+Groups over BLOCK members are cut into pairs of blocks, so that no task holds a larger one.
 
 Nothing is capped: buckets of any size are handled, and no pair of two linked texts is lost.
 
@@ -28,6 +32,8 @@ set only, and its component is the smallest doc_id there (null if none); an empt
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,11 +42,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.common import Files, documents, scratch, stored
+from tessera.llm.common import Files, documents, ran, remove, scratch, stored
 
-ORDERS = 2
+ORDERS = 3
 CELLS, PAGE = 1 << 20, 1 << 16  # counters of the sketch, and counters in a row of it
 BLOCK = 2048  # members of a group that are compared in one task
+ROWS = 512  # of them that are compared with all at once
 NEEDED = 64  # files of sorted nodes, at least
 
 
@@ -80,26 +87,34 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - 20)).astype(np.int64)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit a hash value, more of them than tokens, flipped by each token that has it."""
+    bits = max(64, 1 << len(tokens).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """A row a document (doc_id, n, node), and pages of each task's counters."""
+    """A row a document (doc_id, n, node, bits), and pages of each task's counters."""
+    names = ["page", "doc_id", "n", "node", "bits", "counters"]
 
     def run(batches):
         counters = np.zeros(CELLS, np.uint64)
         for batch, sets in _sets(batches, n):
             if sets:
                 counters += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS).astype(np.uint64)
+            k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sets), -1), pa.int32()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(node(s)) if len(s) else 0 for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())],
-                names=["page", "doc_id", "n", "node", "counters"],
+                [pa.array(np.full(k, -1), pa.int32()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(node(s)) if len(s) else 0 for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(k, pa.binary())],
+                names=names,
             )
         pages = [p for p in range(CELLS // PAGE) if counters[p * PAGE : (p + 1) * PAGE].any()]
         k = len(pages)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pages, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([blocks.planes(counters[p * PAGE : (p + 1) * PAGE]) for p in pages], pa.binary())],
-            names=["page", "doc_id", "n", "node", "counters"],
+            [pa.array(pages, pa.int32()), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.binary()), pa.array([blocks.planes(counters[p * PAGE : (p + 1) * PAGE]) for p in pages], pa.binary())],
+            names=names,
         )
 
-    return docs.mapInArrow(run, "page int, doc_id long, n long, node long, counters binary")
+    return docs.mapInArrow(run, "page int, doc_id long, n long, node long, bits binary, counters binary")
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -164,51 +179,58 @@ def _shards(rows: int) -> int:
     return max(NEEDED, min(1 << 16, rows // 2000))
 
 
+def _each_shard(rows: DataFrame, shards: int, write) -> None:
+    """write(rows of a shard by number, shard) for every shard, so that a file that is missing later is an error."""
+
+    def run(mine: pd.DataFrame) -> pd.DataFrame:
+        s = int(mine["shard"].iloc[0])
+        write(mine[~mine["_none"]], s)
+        return pd.DataFrame({"shard": [s]})
+
+    rows = rows.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).withColumn("_none", F.lit(False))
+    blank = [F.lit(0 if f.dataType.typeName() == "long" else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-2]]
+    every = rows.sparkSession.range(shards).select(*blank, F.col("id").cast("int").alias("shard"), F.lit(True).alias("_none"))
+    ran(rows.union(every).groupBy("shard").applyInPandas(run, "shard int"))
+
+
 def _write_nodes(nodes: DataFrame, root: str, shards: int) -> None:
     """Sorted files of (node, doc_id): which document a node's set is read from."""
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: pd.DataFrame, s: int) -> None:
         r = rows.sort_values("node")
-        s = int(r["shard"].iloc[0])
         files = Files(root)
         files.write(f"node{s}", [r["node"].to_numpy(np.int64).tobytes()])
         files.write(f"doc{s}", [r["doc_id"].to_numpy(np.int64).tobytes()])
-        return pd.DataFrame({"shard": [s]})
 
-    nodes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+    _each_shard(nodes, shards, write)
 
 
 def _write_members(members: DataFrame, root: str, shards: int) -> None:
-    """Sorted files of (node, doc_id, band), and their hubs with group sizes and their signatures one after another."""
+    """Sorted files of (node, doc_id), and each one's centres one after another."""
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values(["node", "band"])
-        s = int(r["shard"].iloc[0])
+    def write(rows: pd.DataFrame, s: int) -> None:
+        r = rows.sort_values("node")
         files = Files(root)
-        for name, column, kind in (("node", "node", np.int64), ("doc", "doc_id", np.int64), ("band", "band", np.int8)):
-            files.write(f"{name}{s}", [r[column].to_numpy(kind).tobytes()])
-        for name, kind in (("hubs", np.int64), ("ms", np.int64), ("sig", np.int32)):
-            files.write(f"{name}at{s}", [np.concatenate([[0], np.cumsum(r[name].map(len))]).astype(np.int64).tobytes()])
-            files.write(f"{name}{s}", [np.concatenate(r[name].tolist()).astype(kind).tobytes()])
-        return pd.DataFrame({"shard": [s]})
+        files.write(f"node{s}", [r["node"].to_numpy(np.int64).tobytes()])
+        files.write(f"doc{s}", [r["doc_id"].to_numpy(np.int64).tobytes()])
+        files.write(f"hubsat{s}", [np.concatenate([[0], np.cumsum(r["hubs"].map(len))]).astype(np.int64).tobytes()])
+        files.write(f"hubs{s}", [np.asarray(x, np.int64).tobytes() for x in r["hubs"]])
 
-    members.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+    _each_shard(members, shards, write)
 
 
 def _write_sets(sets: DataFrame, root: str, shards: int) -> None:
     """Sorted files of nodes, and their tokens one after another."""
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: pd.DataFrame, s: int) -> None:
         r = rows.drop_duplicates("node").sort_values("node")
-        s = int(r["shard"].iloc[0])
         tokens = [blocks.unpack_sorted(b) for b in r["tokens"]]
         files = Files(root)
         files.write(f"set{s}", [r["node"].to_numpy(np.int64).tobytes()])
         files.write(f"setat{s}", [np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64).tobytes()])
         files.write(f"tokens{s}", [t.tobytes() for t in tokens])
-        return pd.DataFrame({"shard": [s]})
 
-    sets.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(write, "shard int").write.format("noop").mode("overwrite").save()
+    _each_shard(sets, shards, write)
 
 
 class _Mapped:
@@ -219,10 +241,8 @@ class _Mapped:
 
     def array(self, name: str, shard: int, dtype=np.int64) -> np.ndarray:
         if (name, shard) not in self.maps:
-            try:
-                self.maps[name, shard] = np.memmap(self.files.path(f"{name}{shard}"), dtype, "r")
-            except FileNotFoundError:
-                self.maps[name, shard] = np.zeros(0, dtype)
+            path = self.files.path(f"{name}{shard}")
+            self.maps[name, shard] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
         return self.maps[name, shard]
 
     def place(self, name: str, x: int) -> tuple[int, int]:
@@ -252,9 +272,9 @@ def _wanted_sets(docs: DataFrame, n: int, root: str, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens binary")
 
 
-def _differences(docs: DataFrame, n: int, root: str, shards: int, hub_root: str, hub_shards: int) -> DataFrame:
-    """For each member in the files and each of its hubs: group size, signature, sizes of both sets and their packed symmetric difference."""
-    kinds = {"hub": pa.int64(), "band": pa.int8(), "node": pa.int64(), "m": pa.int64(), "sig": pa.list_(pa.int32()), "n": pa.int64(), "hub_n": pa.int64(), "delta": pa.binary()}
+def _differences(docs: DataFrame, n: int, num: int, den: int, root: str, shards: int, hub_root: str, hub_shards: int) -> DataFrame:
+    """For each member in the files and each of its centres: sizes of both sets, whether they link, and their packed symmetric difference."""
+    kinds = {"hub": pa.int64(), "node": pa.int64(), "n": pa.int64(), "hub_n": pa.int64(), "near": pa.bool_(), "delta": pa.binary()}
 
     def run(batches):
         m, h = _Mapped(root, shards), _Mapped(hub_root, hub_shards)
@@ -266,22 +286,20 @@ def _differences(docs: DataFrame, n: int, root: str, shards: int, hub_root: str,
                 shard, at = m.wanted(x := int(node(s)), doc)
                 if at < 0:
                     continue
-                keys, known = m.array("node", shard), {}
-                while at < len(keys) and keys[at] == x:  # a row a size class
-                    first, last = m.array("hubsat", shard)[at : at + 2]
-                    begin, end = m.array("sigat", shard)[at : at + 2]
-                    sig, band = m.array("sig", shard, np.int32)[begin:end], int(m.array("band", shard, np.int8)[at])
-                    for hub, size in zip(m.array("hubs", shard)[first:last].tolist(), m.array("ms", shard)[first:last].tolist(), strict=True):
-                        if hub not in known:
-                            hs, place = h.place("set", hub)
-                            begin, end = h.array("setat", hs)[place : place + 2]
-                            base = np.asarray(h.array("tokens", hs, np.uint64)[begin:end])
-                            known[hub] = len(base), blocks.pack_sorted(np.setxor1d(s, base, assume_unique=True))
-                        out.append((hub, band, x, size, sig, len(s), *known[hub]))
-                    at += 1
+                first, last = m.array("hubsat", shard)[at : at + 2]
+                for hub in m.array("hubs", shard)[first:last].tolist():
+                    hs, place = h.place("set", hub)
+                    begin, end = h.array("setat", hs)[place : place + 2]
+                    base = np.asarray(h.array("tokens", hs, np.uint64)[begin:end])
+                    delta = np.setxor1d(s, base, assume_unique=True)
+                    out.append((hub, x, len(s), len(base), bool(_linked(len(s), len(base), len(delta), num, den)), blocks.pack_sorted(delta)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
-    return docs.mapInArrow(run, "hub long, band byte, node long, m long, sig array<int>, n long, hub_n long, delta binary")
+    return docs.mapInArrow(run, "hub long, node long, n long, hub_n long, near boolean, delta binary")
+
+
+def _linked(n1, n2, xor, num: int, den: int):
+    return den * ((n1 + n2 - xor) // 2) >= num * ((n1 + n2 + xor) // 2)
 
 
 class _Union:
@@ -313,69 +331,79 @@ def _postings_of(arrays: list[np.ndarray]):
     return lists
 
 
-def group_links(nodes, sizes, deltas, sigs, hub: int, hub_n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the components of one group, among its members and the hub."""
+def group_links(nodes, sizes, deltas, near, asked, num: int, den: int) -> list[tuple[int, int]]:
+    """Links of the members asked with all of a group, whose near members link with its centre, as far as they span components."""
     m = len(nodes)
     d = np.array([len(x) for x in deltas])
     sizes = np.asarray(sizes)
-    linked = lambda n1, n2, xor: den * ((n1 + n2 - xor) // 2) >= num * ((n1 + n2 + xor) // 2)
-    near = linked(sizes, hub_n, d)
-    edges = [(int(nodes[i]), hub) for i in np.flatnonzero(near) if nodes[i] != hub]
-    union, first = _Union(m), None
-    for i in np.flatnonzero(near):
-        first = i if first is None else first
-        union.join(int(first), int(i))
-    rest = np.flatnonzero(~near)
-    if not len(rest):
-        return edges
-    shared = [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
-    least = np.array([_least(int(x), num, den) for x in sizes])
+    union, edges, centre = _Union(m), [], np.flatnonzero(near)
+    for i in centre.tolist():
+        union.join(int(centre[0]), i)
     common = _postings_of(deltas)
-    for i in rest.tolist():
-        able = np.ones(m, bool)
-        for lists in shared:  # the filters of all orders, intersected before any set is looked at
-            held = lists(i)
-            able &= (np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, int)) >= np.minimum(least, least[i])
-            if not able.any():
-                break
-        able[i] = False
-        pick = np.flatnonzero(able)
-        if not len(pick):
-            continue
+    for i in np.flatnonzero(asked).tolist():
         held = common(i)
-        both = np.bincount(np.concatenate(held), minlength=m)[pick] if held else np.zeros(len(pick), np.int64)
-        ok = pick[linked(sizes[i], sizes[pick], d[i] + d[pick] - 2 * both)]
-        for j in ok.tolist():
-            if union.join(i, j):
+        both = np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, np.int64)
+        for j in np.flatnonzero(_linked(sizes[i], sizes, d[i] + d - 2 * both, num, den)).tolist():
+            if i != j and union.join(i, j):
                 edges.append((int(nodes[i]), int(nodes[j])))
     return edges
 
 
-def partners(sigs, sizes, num: int, den: int) -> np.ndarray:
-    """Members that have a candidate partner in their group: of like size, and with enough tokens in common under every order."""
+def candidates(sigs, sizes, bits, num: int, den: int) -> np.ndarray:
+    """By member of a group, the first member that candidates connect it with; -1 for one without a candidate.
+
+    Candidates are of like size, have no more bits of difference than linked sets can have, and
+    enough prefix tokens in common under every order.
+    """
     m = len(sigs)
-    sizes = np.asarray(sizes)
+    sizes = np.asarray(sizes, np.int64)
+    width = min(map(len, bits))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
     least = np.array([_least(int(x), num, den) for x in sizes])
-    shared = [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
-    out = np.zeros(m, bool)
-    for i in range(m):
-        if out[i]:
-            continue
-        able = den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i])
-        for lists in shared:
-            held = lists(i)
-            able &= (np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, int)) >= np.minimum(least, least[i])
-        able[i] = False
-        if able.any():
-            out[i] = True
-            out |= able
-    return out
+    label, found, shared = np.arange(m), np.zeros(m, bool), None
+    for low in range(0, m, ROWS):
+        rows = np.arange(low, min(m, low + ROWS))
+        differ = np.zeros((len(rows), m), np.float32)
+        for at in range(0, width, 256):
+            x = np.unpackbits(folded[:, at : at + 256], axis=1).astype(np.float32)
+            ones = x.sum(1)
+            differ += ones[rows, None] + ones[None, :] - 2 * (x[rows] @ x.T)
+        fits = den * np.minimum(sizes[rows, None], sizes) >= num * np.maximum(sizes[rows, None], sizes)
+        fits &= (den + num) * differ <= (den - num) * (sizes[rows, None] + sizes)
+        fits[rows - low, rows] = False
+        for i in rows[fits.any(1)].tolist():
+            pick = np.flatnonzero(fits[i - low])
+            pick = pick[pick > i]
+            if not len(pick) or found[i] and (label[pick] == label[i]).all():
+                continue
+            shared = shared or [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
+            for lists in shared:  # the filters of all orders, intersected before any set is looked at
+                held = lists(i)
+                counts = np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, np.int64)
+                pick = pick[counts[pick] >= np.minimum(least[i], least[pick])]
+            if len(pick):
+                ends = np.unique(np.append(label[pick], label[i]))
+                label[np.isin(label, ends)] = ends[0]
+                found[pick] = found[i] = True
+    return np.where(found, label, -1)
 
 
 def _cells(rows: DataFrame) -> DataFrame:
     """Cut groups of m members into pairs of blocks; a member goes to each pair that its block is in."""
     cut = rows.withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    return cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    cut = cut.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)"))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    return cut.drop("m", "_nb", "_b", "_o")
+
+
+def _rest_cells(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """Deal members not near their centre, by block, to every block of their centre's group, and all members to every block of those. rest: hub, m, r."""
+    cut = rows.join(rest, "hub").withColumn("_nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("_nr", F.ceil(F.col("r") / BLOCK).cast("int"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    places = F.expr("flatten(transform(sequence(0, _nr - 1), i -> transform(sequence(0, _nb - 1), j -> struct(i, j))))")
+    mine = F.filter(places, lambda p: (p["j"] == F.col("_b")) | ~F.col("near") & (p["i"] == F.col("_r")))
+    cut = cut.withColumn("_b", block("_nb")).withColumn("_r", block("_nr")).withColumn("_p", F.explode(mine))
+    asked = ~F.col("near") & (F.col("_p.i") == F.col("_r"))
+    return cut.select("hub", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "node", "n", asked.alias("asked"), "near", "delta")
 
 
 def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
@@ -389,45 +417,53 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     by = W.partitionBy("token")
     posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
     posts = posts.withColumn("_df", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
-    live = posts.groupBy("node", "band").agg(F.collect_set(F.struct("ord", "_df", "token", "hub")).alias("held"), F.max("need").alias("need"))
-    for k in range(orders):
+    # a signature is 30 bits of each token and the order in the lowest two: tokens that fall together can only add candidates
+    sig = ((F.col("token").bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4 + F.col("ord")).cast("int")
+    first = F.when(F.col("ord") == 0, F.struct(F.col("_df").cast("int").alias("df"), "token", "hub"))
+    live = posts.groupBy("node", "band").agg(F.collect_set(first).alias("first"), F.collect_set(F.when(F.col("ord") != 0, F.struct("ord", sig.alias("sig")))).alias("held"), F.max("need").alias("need"))
+    live = live.filter(F.size("first") >= F.col("need"))
+    for k in range(1, orders):
         live = live.filter(F.size(F.filter("held", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
     # Partners share ``need`` tokens of the first order or more; by bucket size, the first of those is not among either's last need - 1.
-    first = F.array_sort(F.filter("held", lambda s: s["ord"] == 0))
-    hubs = F.array_distinct(F.transform(F.slice(first, F.lit(1), F.size(first) - F.col("need") + 1), lambda s: s["hub"]))
-    # a signature is 30 bits of each token and the order in the lowest two: tokens that fall together can only add candidates
-    sig = F.transform("held", lambda s: ((s["token"].bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4 + s["ord"]).cast("int"))
-    member = stored(live.select("node", "band", sig.alias("sig"), hubs.alias("hubs")), "jaccard-members")
+    ranked = F.array_sort("first")
+    hubs = F.array_distinct(F.transform(F.slice(ranked, F.lit(1), F.size("first") - F.col("need") + 1), lambda s: s["hub"]))
+    low = F.transform("first", lambda s: ((s["token"].bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4).cast("int"))
+    member = stored(live.select("node", "band", F.concat(low, F.transform("held", lambda s: s["sig"])).alias("sig"), hubs.alias("hubs")), "jaccard-members")
     pairs = member.select("node", "band", F.explode("hubs").alias("hub"))
     held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
     split = lambda rows: [[x[(x & 3) == k] for k in range(orders)] for x in (s.astype(np.int64) for s in rows["sig"])]
 
     def able(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.loc[partners(split(rows), rows["n"].to_numpy(), num, den), ["hub", "band", "node"]]
+        rows = rows.sort_values("node", ignore_index=True)
+        label = candidates(split(rows), rows["n"].to_numpy(), rows["bits"].tolist(), num, den)
+        x = rows["node"].to_numpy()
+        return pd.DataFrame({"hub": x[label[label >= 0]], "node": x[label >= 0]})
 
-    sizes = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    sizes = scan.filter("page = -1 and n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     wide = pairs.join(held, ["hub", "band"]).join(member.select("node", "band", "sig").join(sizes, "node"), ["node", "band"])
-    pairs = _cells(wide).select("hub", "band", "_i", "_j", "node", "sig", "n").groupBy("hub", "band", "_i", "_j").applyInPandas(able, "hub long, band byte, node long").distinct()
-    pairs = stored(pairs, "jaccard-able")
-    held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m"))
-    pairs = stored(pairs.join(held, ["hub", "band"]), "jaccard-pairs")
+    pairs = _cells(wide).groupBy("hub", "band", "_i", "_j").applyInPandas(able, "hub long, node long").distinct()
+    pairs = stored(pairs, "jaccard-pairs")
     stand = stored(nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-stand")
     hubs = pairs.select(F.col("hub").alias("node")).distinct()
     root, hub_root, set_root = (scratch(spark, f"jaccard-{x}") for x in ("nodes", "hubs", "sets"))
     shards, hub_shards = _shards(pairs.count()), _shards(hubs.count())
     _write_nodes(stand.join(hubs, "node"), hub_root, hub_shards)
     _write_sets(_wanted_sets(docs, n, hub_root, hub_shards), set_root, hub_shards)
-    at = pairs.groupBy("node", "band").agg(F.sort_array(F.collect_list(F.struct("hub", "m"))).alias("at"))
-    at = at.join(member.select("node", "band", "sig"), ["node", "band"]).join(stand, "node")
-    _write_members(at.select("node", "doc_id", "band", F.col("at.hub").alias("hubs"), F.col("at.m").alias("ms"), "sig"), root, shards)
-    cut = _cells(_differences(docs, n, root, shards, set_root, hub_shards))
+    at = pairs.groupBy("node").agg(F.sort_array(F.collect_list("hub")).alias("hubs"))
+    _write_members(at.join(stand, "node"), root, shards)
+    apart = stored(_differences(docs, n, num, den, root, shards, set_root, hub_shards), "jaccard-differences")
+    for path in (root, hub_root, set_root):
+        remove(spark, path)
+    rest = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("near")).alias("r")).filter("r > 0")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], split(rows), int(rows["hub"].iloc[0]), int(rows["hub_n"].iloc[0]), num, den)
+        found = group_links(rows["node"].to_numpy(), rows["n"].to_numpy(), [blocks.unpack_sorted(b) for b in rows["delta"]], rows["near"].to_numpy(), rows["asked"].to_numpy(), num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    edges = cut.select("hub", "band", "_i", "_j", "node", "sig", "n", "hub_n", "delta").groupBy("hub", "band", "_i", "_j").applyInPandas(compare, "a long, b long")
-    return nodes, stored(edges.distinct(), "jaccard-edges")
+    cut = _rest_cells(apart.drop("hub_n"), rest)
+    edges = cut.groupBy("hub", "_i", "_j").applyInPandas(compare, "a long, b long")
+    stars = apart.filter("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return nodes, stored(edges.union(stars).distinct(), "jaccard-edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
