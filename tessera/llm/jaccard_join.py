@@ -349,7 +349,7 @@ def group_links(nodes, sizes, deltas, near, asked, num: int, den: int) -> list[t
     return edges
 
 
-def candidates(sigs, sizes, bits, num: int, den: int) -> np.ndarray:
+def candidates(sigs, orders: int, sizes, bits, num: int, den: int) -> np.ndarray:
     """By member of a group, the first member that candidates connect it with; -1 for one without a candidate.
 
     Candidates are of like size, have no more bits of difference than linked sets can have, and
@@ -358,8 +358,8 @@ def candidates(sigs, sizes, bits, num: int, den: int) -> np.ndarray:
     m = len(sigs)
     sizes = np.asarray(sizes, np.int64)
     width = min(map(len, bits))
-    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
-    least = np.array([_least(int(x), num, den) for x in sizes])
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) if len(b) > width else np.frombuffer(b, np.uint8) for b in bits])
+    least = np.maximum(1, (sizes - (num * sizes + den - 1) // den + 1) // 3)
     label, found, shared = np.arange(m), np.zeros(m, bool), None
     for low in range(0, m, ROWS):
         rows = np.arange(low, min(m, low + ROWS))
@@ -376,7 +376,7 @@ def candidates(sigs, sizes, bits, num: int, den: int) -> np.ndarray:
             pick = pick[pick > i]
             if not len(pick) or found[i] and (label[pick] == label[i]).all():
                 continue
-            shared = shared or [_postings_of([s[k] for s in sigs]) for k in range(len(sigs[0]))]
+            shared = shared or [_postings_of([x[(x & 3) == k] for x in sigs]) for k in range(orders)]
             for lists in shared:  # the filters of all orders, intersected before any set is looked at
                 held = lists(i)
                 counts = np.bincount(np.concatenate(held), minlength=m) if held else np.zeros(m, np.int64)
@@ -415,33 +415,37 @@ def links(docs: DataFrame, n: int, num: int, den: int, orders: int = ORDERS) ->
     nodes = scan.filter("page = -1").select("doc_id", "n", "node")
 
     by = W.partitionBy("token")
-    posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
-    posts = posts.withColumn("_df", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"]).filter("_lo <> _hi")
-    # a signature is 30 bits of each token and the order in the lowest two: tokens that fall together can only add candidates
-    sig = ((F.col("token").bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4 + F.col("ord")).cast("int")
-    first = F.when(F.col("ord") == 0, F.struct(F.col("_df").cast("int").alias("df"), "token", "hub"))
-    live = posts.groupBy("node", "band").agg(F.collect_set(first).alias("first"), F.collect_set(F.when(F.col("ord") != 0, F.struct("ord", sig.alias("sig")))).alias("held"), F.max("need").alias("need"))
-    live = live.filter(F.size("first") >= F.col("need"))
-    for k in range(1, orders):
-        live = live.filter(F.size(F.filter("held", lambda s: s["ord"] == k)) >= F.col("need"))  # noqa: B023
-    # Partners share ``need`` tokens of the first order or more; by bucket size, the first of those is not among either's last need - 1.
+    posts = _postings(docs.filter("doc_id is not null"), n, num, den, orders, levels)
+    posts = posts.withColumn("_last", F.lag("node").over(by.orderBy("node"))).withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by))
+    posts = posts.withColumn("_df", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("typical", "node")).over(by)["node"])
+    posts = posts.filter((F.col("_lo") != F.col("_hi")) & ~F.col("_last").eqNullSafe(F.col("node")))  # once a node, whatever its copies
+    # a signature is 14 bits of a token and its order: tokens that fall together can only add candidates
+    sig = ((F.col("token").bitwiseAND(F.lit((1 << 14) - 1)) - F.lit(1 << 13)) * 4 + F.col("ord")).cast("short")
+    at_first = F.col("ord") == 0
+    posts = posts.select("node", "band", "need", sig.alias("sig"), F.when(at_first, F.col("_df").cast("int")).alias("df"), F.when(at_first, F.col("hub")).alias("hub"))
+    live = posts.repartition("node", "band").groupBy("node", "band").agg(F.collect_list("sig").alias("sig"), F.collect_list(F.when(F.col("hub").isNotNull(), F.struct("df", "sig", "hub"))).alias("first"), F.max("need").alias("need"))
+    for k in range(orders):
+        live = live.filter(F.size(F.filter("sig", lambda s: s.bitwiseAND(F.lit(3).cast("short")) == k)) >= F.col("need"))  # noqa: B023
+    # Partners share ``need`` tokens of the first order or more; by bucket size, the first of those is not among either's
+    # last need - 1. Tokens of one size and signature stand in any order if they have one hub, and else in that of their hubs.
     ranked = F.array_sort("first")
     hubs = F.array_distinct(F.transform(F.slice(ranked, F.lit(1), F.size("first") - F.col("need") + 1), lambda s: s["hub"]))
-    low = F.transform("first", lambda s: ((s["token"].bitwiseAND(F.lit((1 << 30) - 1)) - F.lit(1 << 29)) * 4).cast("int"))
-    member = stored(live.select("node", "band", F.concat(low, F.transform("held", lambda s: s["sig"])).alias("sig"), hubs.alias("hubs")), "jaccard-members")
+    member = stored(live.select("node", "band", "sig", hubs.alias("hubs")), "jaccard-members")
     pairs = member.select("node", "band", F.explode("hubs").alias("hub"))
     held = pairs.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one member alone has no partner
-    split = lambda rows: [[x[(x & 3) == k] for k in range(orders)] for x in (s.astype(np.int64) for s in rows["sig"])]
 
-    def able(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        label = candidates(split(rows), rows["n"].to_numpy(), rows["bits"].tolist(), num, den)
-        x = rows["node"].to_numpy()
-        return pd.DataFrame({"hub": x[label[label >= 0]], "node": x[label >= 0]})
+    def able(rows: pa.Table) -> pa.Table:
+        x = rows.column("node").to_numpy()
+        order = np.argsort(x)
+        x, bits, sig = x[order], rows.column("bits").to_pylist(), rows.column("sig").combine_chunks()
+        values, at = sig.values.to_numpy(), sig.offsets.to_numpy()
+        label = candidates([values[at[i] : at[i + 1]] for i in order], orders, rows.column("n").to_numpy()[order], [bits[i] for i in order], num, den)
+        return pa.table({"hub": x[label[label >= 0]], "node": x[label >= 0]})
 
     sizes = scan.filter("page = -1 and n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     wide = pairs.join(held, ["hub", "band"]).join(member.select("node", "band", "sig").join(sizes, "node"), ["node", "band"])
-    pairs = _cells(wide).groupBy("hub", "band", "_i", "_j").applyInPandas(able, "hub long, node long").distinct()
+    able_in = _cells(wide).select("hub", "band", "_i", "_j", "node", "sig", "n", "bits").groupBy("hub", "band", "_i", "_j")
+    pairs = able_in.applyInArrow(able, "hub long, node long").distinct()
     pairs = stored(pairs, "jaccard-pairs")
     stand = stored(nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-stand")
     hubs = pairs.select(F.col("hub").alias("node")).distinct()
