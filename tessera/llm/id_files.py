@@ -4,7 +4,7 @@ A shard file holds its documents' ids one after another (two bytes each where th
 then the n + 1 boundaries as an Elias-Fano sequence: ``low`` bits of each packed side by side, and
 the rest in unary in a bit vector, about two bits a document; the place of every SAMPLE-th set bit
 makes select, and so any document's offset, a short scan. The ascending doc_ids are kept likewise.
-There is no table of 64-bit offsets.
+There is no table of 64-bit offsets: a reader takes blocks of offsets by select.
 
 Files go to the shared folder, ranges of doc_id in order, and are streamed by block while written.
 
@@ -31,6 +31,7 @@ from tessera.llm.encoding import encoder, with_end
 END = 0
 SHARD_INPUT = 32 << 20
 SAMPLE = 256
+READ = 10_000  # documents read at once
 
 
 def tokenizer_path() -> str:
@@ -75,6 +76,21 @@ class EliasFano:
         held = int.from_bytes(self.lows[first // 8 : (first + self.low + 7) // 8].tobytes(), "little") >> (first % 8)
         return ((one - i) << self.low) | (held & ((1 << self.low) - 1))
 
+    def values(self, i: int, j: int) -> np.ndarray:
+        """Values i to j: select of the first, and the unary bits from there to the sample after the last."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        first, after = int(self.samples[i // SAMPLE]), -(-j // SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.highs)
+        bits = np.unpackbits(self.highs[first // 8 : (end + 7) // 8], bitorder="little")[first % 8 :]
+        ones = np.flatnonzero(bits)[i % SAMPLE : i % SAMPLE + j - i] + first
+        high = (ones - np.arange(i, j)).astype(np.uint64)
+        if not self.low:
+            return high
+        at = i * self.low
+        low = np.unpackbits(self.lows[at // 8 : (j * self.low + 7) // 8], bitorder="little")[at % 8 :][: (j - i) * self.low].reshape(j - i, self.low)
+        return (high << np.uint64(self.low)) | (low.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
     def decode(self) -> np.ndarray:
         """All values at once."""
         high = (np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n] - np.arange(self.n)).astype(np.uint64)
@@ -108,8 +124,11 @@ class IdFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds[i] : self.bounds[i + 1]]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.foot["nulls"] + (self.docs.decode().astype(np.int64) + self.foot["first"]).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Of documents i to j; nulls come first."""
+        none = self.foot["nulls"]
+        known = self.docs.values(max(0, i - none), max(0, j - none)).astype(np.int64) + self.foot["first"]
+        return [None] * max(0, min(j, none) - i) + known.tolist()
 
 
 def _file(parts, kind: str, facts: dict):
@@ -180,12 +199,11 @@ def read(spark, root: str, files: list[tuple[str, int, int]]) -> DataFrame:
         for b in batches:
             for name, first in zip(b.column("name").to_pylist(), b.column("base").to_pylist(), strict=True):
                 f = IdFile(Files(root).path(name))
-                ends = f.bounds.decode().astype(np.int64)
-                ids = f.doc_ids()
-                for i in range(0, len(f), 10_000):
-                    j = min(len(f), i + 10_000)
-                    crc = [zlib.crc32(f.ids[a:e].astype("<u4").data) for a, e in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(ends[i:j] + first), pa.array(np.diff(ends[i : j + 1])), pa.array(crc, pa.int64())], names=names)
+                for i in range(0, len(f), READ):
+                    j = min(len(f), i + READ)
+                    ends = f.bounds.values(i, j + 1).astype(np.int64)
+                    crc = [zlib.crc32(f.ids[a:e].astype("<u4").data) for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(i, j), pa.int64()), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=names)
 
     return spec.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 

@@ -1,20 +1,21 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix takes each document at a rate; the rates nearest to 1 in relative entropy (documents
-weighed by their words) that give every source its target words are exponentials of the source's
-dual variable. The dual is convex, and Newton's step for a source needs its words and its tilted
-words only: one distributed sum by source, after which every iteration is local to the source's row.
-
-Rates become whole copies. All documents of a source get the whole part; in the order of a hash of
-doc_id, documents get one more until the target is full. A small pool of documents of every size on both
-sides of that limit, a few of each power of two, is then chosen anew: largest first, whatever still fits,
-from several starting sizes, and one over the target where that is nearer. What a source's documents get
-therefore follows from a few values (whole part, limit of the hash, ids of the pool), so copies are decided
+The mix takes each document at a rate; the rates nearest to 1 in relative entropy that give every source its
+target words, none over CAP, are exp(dual * words of the document), cut at CAP, with a dual variable for each
+source's token constraint. The dual is convex; each Newton iteration takes the tilted words (the
+gradient) and their slope (the Hessian, which is diagonal) of all sources from one distributed sum over the counts
+of (source, size), held within a bracket of the solution. Sums are exact decimals, so reruns agree.
+
+Rates become whole copies. A document gets the whole part of its rate, and one more if a hash of doc_id, less the
+rest of its rate, is under a limit; the source's limit is where its words meet the target, near 0. A small pool of
+documents of every size on both sides of that limit, a few of each power of two, is then chosen anew: largest
+first, whatever still fits, from several starting sizes, and one over the target where that is nearer. What a
+source's documents get therefore follows from a few values (dual, limit, ids of the pool), so copies are decided
 row by row: documents are joined with one small row for each source and never shuffled by source.
 
-Defined cases: null or blank text has size 0 and is taken 0 times over; a null source is a source of
-its own, last in order; a source without words has target 0; rows that share a doc_id are decided
-alike; an empty table gives no rows.
+Defined cases: null or blank text has size 0, rate 1 and one copy, which takes no words; a null source is a source of
+its own, last in order; a source without words has target 0; a target of CAP times a source's words gives every
+document CAP copies; rows that share doc_id and size are decided alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tessera.llm.common import documents, stored
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 BUCKETS = 3  # hex digits of the hash by which sums are gathered
+STEPS, RESIDUAL = 200, 1e-12  # of the Newton iterations, at most, and of target words
 POOL, STARTS = 8, 32  # documents of a power of two on each side of the limit that are chosen anew; starting sizes tried
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,21 +55,58 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("weight") * F.col("_level"))).drop("_cap", "_t", "_full", "_level")
 
 
-def newton(words: Column, target: Column, steps: int = 60) -> Column:
-    """The dual variable at which tilted words meet the target; steps are held to 1 each way."""
-    step = lambda a: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), target / (words * F.exp(a)) - 1.0))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda a, _: a + step(a))
-    return F.when((words > 0) & (target > 0), solved)
+def solved(rows: DataFrame, s: DataFrame) -> DataFrame:
+    """Add ``dual`` to s (_s, source_size, target): the solution of sum(size * min(CAP, exp(dual * size))) = target; null for none or all.
+
+    As sizes are 1 or more, it lies between 0 and log(target / source_size).
+    """
+    sizes = stored(rows.filter("size > 0").groupBy(F.col("_s").alias("_hs"), "size").agg(F.count(F.lit(1)).alias("n")), "mixing-sizes")
+    ratio = F.log(F.col("target") / F.col("source_size"))
+    open_ = s.filter((F.col("target") > 0) & (F.col("target") < CAP * F.col("source_size")))
+    state = open_.select(F.col("_s").alias("_ds"), F.col("target").alias("_t"), F.least(F.lit(0.0), ratio).alias("_lo"), F.greatest(F.lit(0.0), ratio).alias("_hi"), F.lit(0.0).alias("dual"), F.lit(False).alias("_met"))
+    state, exact = stored(state, "mixing-dual"), lambda c: F.sum(c.cast("decimal(28,9)")).cast("double")
+    step = 0
+    while step < STEPS and not state.filter("not _met").isEmpty():
+        step += 1
+        tilted = sizes.join(state.filter("not _met"), F.col("_hs").eqNullSafe(F.col("_ds"))).withColumn("_e", F.exp(F.col("dual") * F.col("size")))
+        words = F.col("n") * F.col("size") * F.least(F.lit(float(CAP)), F.col("_e"))
+        slope = F.when(F.col("_e") < CAP, F.col("n") * F.col("size") * F.col("size") * F.col("_e")).otherwise(F.lit(0.0))
+        sums = tilted.groupBy(F.col("_ds").alias("_gs")).agg(exact(words).alias("_f"), exact(slope).alias("_g"))
+        q = state.join(sums, F.col("_ds").eqNullSafe(F.col("_gs")), "left")
+        low, high = F.when(F.col("_f") < F.col("_t"), F.col("dual")).otherwise(F.col("_lo")), F.when(F.col("_f") >= F.col("_t"), F.col("dual")).otherwise(F.col("_hi"))
+        newton = F.col("dual") - F.log(F.col("_f") / F.col("_t")) * F.col("_f") / F.when(F.col("_g") > 0, F.col("_g"))
+        inside = (newton > low) & (newton < high) if step % 4 else F.lit(False)
+        after = F.when(F.coalesce(inside, F.lit(False)), newton).otherwise((low + high) / 2)
+        met = F.col("_met") | (F.abs(F.col("_f") - F.col("_t")) <= RESIDUAL * F.col("_t")) | (after == F.col("dual"))
+        state = stored(q.select("_ds", "_t", F.when(F.col("_met"), F.col("_lo")).otherwise(low).alias("_lo"), F.when(F.col("_met"), F.col("_hi")).otherwise(high).alias("_hi"), F.when(met, F.col("dual")).otherwise(after).alias("dual"), met.alias("_met")), "mixing-dual")
+    return s.join(state.select("_ds", "dual"), s["_s"].eqNullSafe(F.col("_ds")), "left").drop("_ds")
+
+
+def rate() -> Column:
+    """Of a row joined with its source's target, source_size and dual."""
+    full = F.when(F.col("source_size") > 0, F.least(F.lit(float(CAP)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    tilt = F.least(F.lit(float(CAP)), F.exp(F.col("dual") * F.col("size")))
+    return F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.coalesce(tilt, full))
+
+
+def tilted(rows: DataFrame, s: DataFrame) -> DataFrame:
+    """rows (_s, _k: hash of doc_id, size) with their source's columns, ``rate``, ``whole``, and _k as the rank by hash less the rest of the rate."""
+    t = rows.join(s.withColumnRenamed("_s", "_ts"), F.col("_s").eqNullSafe(F.col("_ts"))).drop("_ts").withColumn("rate", rate())
+    t = t.withColumn("whole", F.floor(F.col("rate") + 1e-9))
+    unit = F.conv(F.substring("_k", 1, 10), 16, 10).cast("double") / float(1 << 40)
+    level = F.floor((unit - (F.col("rate") - F.col("whole")) + 1) * float(1 << 39)).cast("long")
+    return t.withColumn("_k", F.concat(F.lower(F.lpad(F.hex(level), 10, "0")), F.col("_k")))
 
 
 def plan(rows: DataFrame) -> DataFrame:
     """For each source what decides its documents' copies. rows: _s, _k (hash of doc_id), size."""
     sums = rows.groupBy("_s").agg(F.sum("size").alias("source_size"))
-    s = targets(sums)
-    rate = F.coalesce(F.exp(newton(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))
-    s = s.withColumn("rate", F.least(rate, F.lit(float(CAP))))
-    s = s.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("_gap", F.col("target") - F.col("whole") * F.col("source_size"))
-    s = stored(s.withColumn("_gap", F.when(F.col("whole") >= CAP, F.lit(0.0)).otherwise(F.col("_gap"))), "mixing-sources")
+    s = stored(solved(rows, stored(targets(sums), "mixing-targets")), "mixing-sources")
+    rows = tilted(rows, s)
+    got = rows.groupBy(F.col("_s").alias("_gs")).agg(F.sum(F.col("whole") * F.col("size")).alias("_got"))
+    s = s.join(got, F.col("_s").eqNullSafe(F.col("_gs")), "left").drop("_gs").withColumn("_gap", F.col("target") - F.col("_got")).drop("_got")
+    s = stored(s, "mixing-gaps")
+    rows = rows.filter(F.col("whole") < CAP).select("_s", "_k", "size")
 
     # the hash below which documents get one more copy: sums by leading digits first, then the rows of one of them
     digits = F.substring("_k", 1, BUCKETS)
@@ -120,9 +159,9 @@ def _chosen(rows: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def copies() -> Column:
-    """Of a row joined with its source's row of plan()."""
+    """Of a row of tilted() by plan()."""
     more = (F.col("_k") < F.col("limit")) & ~F.array_contains("without", F.col("_k")) | F.array_contains("extra", F.col("_k"))
-    return F.least(F.lit(CAP), F.col("whole") + more.cast("long")).cast("long")
+    return F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(CAP), F.col("whole") + more.cast("long"))).cast("long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -132,17 +171,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and rate of every row of docs."""
     rows = stored(_rows(docs), "mixing-rows")
-    p = plan(rows).withColumnRenamed("_s", "_ps")
-    out = rows.join(p, rows["_s"].eqNullSafe(p["_ps"])).withColumn("copies", copies())
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    out = tilted(rows, plan(rows)).withColumn("copies", copies())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.round("rate", 4).alias("rate"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
-    rows = stored(_rows(docs).drop("doc_id"), "mixing-rows")
-    p = plan(rows).select(F.col("_s").alias("_ps"), "limit", "extra", "without", "whole")
-    whole = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_s"), _key().alias("_k"))
-    out = whole.join(p, whole["_s"].eqNullSafe(p["_ps"])).withColumn("_c", copies()).filter(F.col("_c") > 0)
+    p = plan(stored(_rows(docs).drop("doc_id"), "mixing-rows"))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_s"), _key().alias("_k"), size().alias("size"))
+    out = tilted(whole, p).withColumn("_c", copies()).filter(F.col("_c") > 0)
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select("_row.*")
 
 
@@ -159,17 +196,26 @@ s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS
 s2 AS (SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS t
   FROM s1 WINDOW w AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, CASE WHEN cap <= t * weight THEN cap ELSE weight * max(t) FILTER (cap > t * weight) OVER () END AS target FROM s2),
-s4 AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, {CAP}) ELSE 0 END AS rate FROM s3),
-s5 AS (SELECT *, floor(rate + 1e-9)::BIGINT AS whole FROM s4),
-s6 AS (SELECT *, CASE WHEN whole >= {CAP} THEN 0 ELSE target - whole * source_size END AS gap FROM s5),
-run AS (SELECT r.*, sum(size) OVER (PARTITION BY source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z FROM r),
+hs AS (SELECT source, list((size, n)) AS xs FROM (SELECT source, size, count(*)::DOUBLE AS n FROM r WHERE size > 0 GROUP BY ALL) GROUP BY source),
+dual AS (SELECT s3.source, xs, target, least(0, ln(target / source_size)) AS lo, greatest(0, ln(target / source_size)) AS hi, 0 AS i
+  FROM s3 JOIN hs ON s3.source IS NOT DISTINCT FROM hs.source WHERE target > 0 AND target < {CAP} * source_size
+  UNION ALL SELECT source, xs, target, CASE WHEN f < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < target THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, list_sum(list_transform(xs, lambda x: x[2] * x[1] * least({CAP}, exp((lo + hi) / 2 * x[1])))) AS f FROM dual WHERE i < 100)),
+s4 AS (SELECT s3.*, (lo + hi) / 2 AS d FROM s3 LEFT JOIN dual ON s3.source IS NOT DISTINCT FROM dual.source AND i = 100),
+u AS (SELECT doc_id, r.source, k AS h, size, CASE WHEN size = 0 THEN 1 WHEN d IS NOT NULL THEN least({CAP}, exp(d * size)) WHEN source_size > 0 THEN least({CAP}, target / source_size) ELSE 0 END::DOUBLE AS rate
+  FROM r JOIN s4 ON r.source IS NOT DISTINCT FROM s4.source),
+v AS (SELECT *, lpad(printf('%x', floor((('0x' || substr(h, 1, 10))::BIGINT / {float(1 << 40)}::DOUBLE - (rate - whole) + 1) * {float(1 << 39)}::DOUBLE)::BIGINT), 10, '0') || h AS k
+  FROM (SELECT *, floor(rate + 1e-9::DOUBLE)::BIGINT AS whole FROM u)),
+s6 AS (SELECT s4.*, target - got AS gap FROM s4 JOIN (SELECT source, sum(whole * size) AS got FROM v GROUP BY source) g ON s4.source IS NOT DISTINCT FROM g.source),
+rr AS (SELECT doc_id, source, k, size FROM v WHERE whole < {CAP}),
+run AS (SELECT rr.*, sum(size) OVER (PARTITION BY source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z FROM rr),
 lims AS (SELECT run.source, min(k) FILTER (z > gap) AS lim FROM run JOIN s6 ON run.source IS NOT DISTINCT FROM s6.source GROUP BY run.source),
 s7 AS (SELECT s6.*, CASE WHEN gap > 0 THEN coalesce(lim, 'g') ELSE '' END AS lim FROM s6 LEFT JOIN lims ON s6.source IS NOT DISTINCT FROM lims.source),
-near AS (SELECT r.*, lim, row_number() OVER (PARTITION BY r.source, r.k < lim, length(bin(size)) ORDER BY CASE WHEN r.k >= lim THEN r.k END, CASE WHEN r.k < lim THEN r.k END DESC) AS i
-  FROM r JOIN s7 ON r.source IS NOT DISTINCT FROM s7.source WHERE gap > 0 AND size > 0),
-pool AS (SELECT r.source, r.k, sum(size)::BIGINT AS z FROM r JOIN (SELECT DISTINCT source, k FROM near WHERE i <= {POOL}) p ON r.source IS NOT DISTINCT FROM p.source AND r.k = p.k GROUP BY ALL),
+near AS (SELECT rr.*, lim, row_number() OVER (PARTITION BY rr.source, rr.k < lim, length(bin(size)) ORDER BY CASE WHEN rr.k >= lim THEN rr.k END, CASE WHEN rr.k < lim THEN rr.k END DESC) AS i
+  FROM rr JOIN s7 ON rr.source IS NOT DISTINCT FROM s7.source WHERE gap > 0 AND size > 0),
+pool AS (SELECT rr.source, rr.k, sum(size)::BIGINT AS z FROM rr JOIN (SELECT DISTINCT source, k FROM near WHERE i <= {POOL}) p ON rr.source IS NOT DISTINCT FROM p.source AND rr.k = p.k GROUP BY ALL),
 arr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY z DESC, k DESC) AS i FROM pool),
-g0 AS (SELECT source, lim, gap - coalesce((SELECT sum(size) FROM r WHERE r.source IS NOT DISTINCT FROM s7.source AND r.k < s7.lim), 0)
+g0 AS (SELECT source, lim, gap - coalesce((SELECT sum(size) FROM rr WHERE rr.source IS NOT DISTINCT FROM s7.source AND rr.k < s7.lim), 0)
   + coalesce((SELECT sum(z) FROM pool WHERE pool.source IS NOT DISTINCT FROM s7.source AND pool.k < s7.lim), 0) AS gap FROM s7 WHERE gap > 0),
 walk AS (SELECT g0.source, arr.i AS st, arr.i - 1 AS i, gap::DOUBLE AS gap, []::VARCHAR[] AS ids FROM g0 JOIN arr ON arr.source IS NOT DISTINCT FROM g0.source WHERE arr.i <= {STARTS}
   UNION ALL SELECT w.source, st, a.i, CASE WHEN z <= gap THEN gap - z ELSE gap END, CASE WHEN z <= gap THEN list_append(ids, k) ELSE ids END
@@ -178,7 +224,7 @@ ends AS (SELECT w.*, (SELECT min((z, k)) FROM arr a WHERE a.source IS NOT DISTIN
   FROM walk w WHERE i = (SELECT max(a.i) FROM arr a WHERE a.source IS NOT DISTINCT FROM w.source)),
 tries AS (SELECT source, st, CASE WHEN o[1] < 2 * gap THEN o[1] - gap ELSE gap END AS off, CASE WHEN o[1] < 2 * gap THEN list_append(ids, o[2]) ELSE ids END AS ids FROM ends),
 best AS (SELECT source, arg_min(ids, (off, st)) AS ids FROM tries GROUP BY source)
-SELECT doc_id, size, source_size, target, c * size AS taken, c AS copies, rate FROM (
-  SELECT r.*, s.source_size, s.target, s.rate, least({CAP}, whole + CASE WHEN pool.k IS NOT NULL THEN list_contains(ids, r.k) ELSE r.k < s.lim END::BIGINT)::BIGINT AS c
-  FROM r JOIN s7 s ON r.source IS NOT DISTINCT FROM s.source LEFT JOIN best ON best.source IS NOT DISTINCT FROM r.source
-  LEFT JOIN pool ON pool.source IS NOT DISTINCT FROM r.source AND pool.k = r.k)"""
+SELECT doc_id, size, source_size, target, c * size AS taken, c AS copies, round(rate, 4) AS rate FROM (
+  SELECT v.*, s.source_size, s.target, CASE WHEN size = 0 THEN 1 ELSE least({CAP}, whole + CASE WHEN pool.k IS NOT NULL THEN list_contains(ids, v.k) ELSE v.k < s.lim END::BIGINT) END::BIGINT AS c
+  FROM v JOIN s7 s ON v.source IS NOT DISTINCT FROM s.source LEFT JOIN best ON best.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN pool ON pool.source IS NOT DISTINCT FROM v.source AND pool.k = v.k)"""

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, stored
 
 BITS = 60
-#: Production size of a shard: what a loader fetches at once.
-SHARD_BYTES = 64 * 1024 * 1024
+#: Production size of a shard: what a loader fetches by one request and shuffles as a unit.
+SHARD_BYTES = 256 * 1024
 SLACK, DEEPER = 4, 8
 
 

@@ -66,7 +66,7 @@ def test_pipeline_stages_keep_columns(odd):
         out.count()
 
 
-@pytest.mark.parametrize("name, sql, keys", [(jaccard_join.op3, jaccard_join.sql(), ["component_id", "n_shingles", "class_id"]), (mixing.op7, mixing.sql(), ["size", "taken", "copies"]), (sharding.op10, sharding.sql(), ["shard", "shard_bytes"])])
+@pytest.mark.parametrize("name, sql, keys", [(jaccard_join.op3, jaccard_join.sql(), ["component_id", "n_shingles", "class_id"]), (mixing.op7, mixing.sql(), ["size", "taken", "copies", "rate"]), (sharding.op10, sharding.sql(), ["shard", "shard_bytes"])])
 def test_against_sql(spark, name, sql, keys):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -101,6 +101,25 @@ def test_mix_meets_targets(spark):
     assert all(abs(r.t - r.g) <= 0.1 * r.g for r in rows)
 
 
+def test_tilted_rates_meet_the_token_constraint(spark):
+    rng = np.random.default_rng(7)
+    size = {(i, f"s{i % 3}"): int(rng.integers(1, 4000)) for i in range(900)}
+    docs = spark.createDataFrame([(i, "w " * n, s) for (i, s), n in size.items()], "doc_id long, text string, source string")
+    rows = mixing._rows(docs)
+    got = mixing.tilted(rows, mixing.plan(rows)).select("_s", "size", "rate", "target", "dual", "source_size").collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in got if r._s == s]
+        target = mine[0].target
+        assert math.isclose(sum(r.size * r.rate for r in mine), target, rel_tol=1e-9) and max(r.rate for r in mine) <= mixing.CAP
+        if target < mixing.CAP * mine[0].source_size:
+            assert len({r.rate for r in mine}) > 50 and all(math.isclose(r.rate, min(mixing.CAP, math.exp(r.dual * r.size)), rel_tol=1e-12) for r in mine)
+    taken = {}
+    for r in mixing.decide(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        t = taken.setdefault(r.source, [0, r.target])
+        t[0] += r.taken
+    assert all(abs(t - g) <= 2e-3 * g for t, g in taken.values())
+
+
 def test_quality_statistics(spark, texts):
     for r in quality.op1(spark, SF).collect():
         t = texts[r.doc_id]
@@ -228,6 +247,7 @@ def test_elias_fano(xs):
     xs = sorted(xs)
     e = id_files.EliasFano.encode(np.array(xs, np.uint64))
     assert e.decode().tolist() == xs and [e[i] for i in range(len(xs))] == xs
+    assert all(e.values(i, j).tolist() == xs[i:j] for i in range(0, len(xs) + 1, 97) for j in range(i, len(xs) + 1, 61))
 
 
 @settings(max_examples=40, deadline=None)
