@@ -75,7 +75,7 @@ def solved(rows: DataFrame, s: DataFrame) -> DataFrame:
         q = state.join(sums, F.col("_ds").eqNullSafe(F.col("_gs")), "left")
         low, high = F.when(F.col("_f") < F.col("_t"), F.col("dual")).otherwise(F.col("_lo")), F.when(F.col("_f") >= F.col("_t"), F.col("dual")).otherwise(F.col("_hi"))
         newton = F.col("dual") - F.log(F.col("_f") / F.col("_t")) * F.col("_f") / F.when(F.col("_g") > 0, F.col("_g"))
-        inside = (newton > low) & (newton < high) if step % 4 else F.lit(False)
+        inside = (newton > low) & (newton < high) if step <= 30 or step % 2 else F.lit(False)
         after = F.when(F.coalesce(inside, F.lit(False)), newton).otherwise((low + high) / 2)
         met = F.col("_met") | (F.abs(F.col("_f") - F.col("_t")) <= RESIDUAL * F.col("_t")) | (after == F.col("dual"))
         state = stored(q.select("_ds", "_t", F.when(F.col("_met"), F.col("_lo")).otherwise(low).alias("_lo"), F.when(F.col("_met"), F.col("_hi")).otherwise(high).alias("_hi"), F.when(met, F.col("dual")).otherwise(after).alias("dual"), met.alias("_met")), "mixing-dual")
