@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,116 +47,135 @@ def from_tensors(outputs: DataFrame, names: list[str], width: int, height: int,
     return clamp_boxes(o, width, height).select("tile_id", "query", "class_id", "class_name", "confidence", *BOX)
 
 
-SIDES = frozenset(("x", "y", "width", "height"))
+SIDES = ("x", "y", "width", "height")
+#: Names under which a payload may hold a box's sides, score, class name and class number, the first of them first.
+INSIDE, SCORE, CLASS, CLASS_ID = ("bbox", "bounding_box"), ("confidence", "score", "class_confidence"), ("class", "class_name", "label"), ("class_id", "classId")
 
 
-def _box(item) -> dict | None:
-    if not isinstance(item, dict):
-        return None
-    for part in (item, item.get("bbox"), item.get("bounding_box")):
-        if isinstance(part, dict) and SIDES <= part.keys():
-            return item | part
-    return None
+class Found(dict):
+    """An object of a payload that has the four sides of a box, its own or those of a box inside it."""
 
 
-def _number(value, default: float = 0.0) -> float:
-    try:
-        return float(value)
-    except (TypeError, ValueError):
-        return default
+def _marked(pairs: list) -> dict:
+    """What the parser calls for each object, inner ones first."""
+    held = dict(pairs)
+    for part in (held, *(held[k] for k in INSIDE if isinstance(held.get(k), dict))):
+        if all(side in part for side in SIDES):
+            return Found({**held, **part})
+    return held
 
 
-def _whole(value) -> int | None:
-    try:
-        return int(value)
-    except (TypeError, ValueError, OverflowError):
-        return None
-
-
-def _groups(payload) -> Iterator[tuple[list[dict], dict | None]]:
-    """Lists of boxes anywhere in a payload, in reading order: what stands under predictions, and lists of boxes only."""
-    todo = [payload]
-    while todo:
-        node = todo.pop()
-        if isinstance(node, dict):
-            listed = node.get("predictions")
-            skip = isinstance(listed, list)
-            boxes = [b for b in map(_box, listed) if b] if skip else []
-            if boxes:
-                image = node.get("image")
-                yield boxes, image if isinstance(image, dict) else None
-            todo.extend(reversed([v for k, v in node.items() if not (skip and k == "predictions")]))
-        elif isinstance(node, list):
-            boxes = [b for b in map(_box, node) if b]
-            if boxes and len(boxes) == len(node):
-                yield boxes, None
-            else:
-                todo.extend(reversed(node))
+def _listed(node, image=None) -> Iterator[tuple[Found, object]]:
+    """Boxes in reading order, each with its image: those under ``predictions``, and those of lists that hold nothing else."""
+    match node:
+        case {"predictions": [*listed], **rest}:
+            yield from ((b, rest.get("image")) for b in listed if isinstance(b, Found))
+            yield from _listed(list(rest.values()))
+        case {**rest} if rest:
+            yield from _listed(list(rest.values()))
+        case [_, *_] if all(isinstance(b, Found) for b in node):
+            yield from ((b, None) for b in node)
+        case [*inner]:
+            for each in inner:
+                yield from _listed(each)
 
 
-def _first(item: dict, *keys, default=None):
-    return next((item[k] for k in keys if k in item), default)
+def _as(kind, box: dict, names: Iterable[str], default):
+    """The value under the first of the names there, as a number; the default if it is none."""
+    try:
+        return kind(next(box[k] for k in names if k in box))
+    except (StopIteration, TypeError, ValueError, OverflowError):
+        return default
 
 
-def _rows(payload: str | None, tile: tuple[float, float, float, float], least: float) -> Iterator[tuple]:
+def _boxes(payload: str | None):
+    """(class name, score, class id, centre and sides, size of the image or null) of the boxes of one payload."""
     try:
-        tree = json.loads(payload) if payload else None
-    except ValueError:
+        tree = json.loads(payload or "null", object_pairs_hook=_marked)
+        for box, image in _listed(tree):
+            size = image if isinstance(image, dict) else {}
+            name = next((box[k] for k in CLASS if k in box), "rock")
+            yield str(name), _as(float, box, SCORE, 0.0), _as(int, box, CLASS_ID, None), *(_as(float, box, [k], 0.0) for k in SIDES), _as(float, size, ["width"], None), _as(float, size, ["height"], None)
+    except (ValueError, RecursionError):  # broken, or nested beyond what the parser takes
         return
-    x0, y0, tw, th = tile
-    for boxes, image in _groups(tree):
-        iw, ih = (_number((image or {}).get(k), d) for k, d in (("width", tw), ("height", th)))
-        sx, sy = tw / iw if iw else 1.0, th / ih if ih else 1.0
-        for b in boxes:
-            score = _number(_first(b, "confidence", "score", "class_confidence"))
-            x, y, w, h = (_number(b.get(k)) for k in ("x", "y", "width", "height"))
-            if score >= least and all(map(math.isfinite, (x, y, w, h))):
-                yield str(_first(b, "class", "class_name", "label", default="rock")), score, _whole(_first(b, "class_id", "classId")), x0 + (x - w / 2) * sx, y0 + (y - h / 2) * sy, x0 + (x + w / 2) * sx, y0 + (y + h / 2) * sy
 
 
 def from_json(tiles: DataFrame, width: int, height: int, least: float = 0.25) -> DataFrame:
-    """Boxes in the payloads of (tile_id, col_off, row_off, tile_width, tile_height, payload), in Arrow batches.
+    """Boxes in the payloads of (tile_id, col_off, row_off, tile_width, tile_height, payload).
 
-    Broken or null payloads hold none; values that are no numbers count as 0.
+    Payloads are taken apart in Arrow batches; scale, place and threshold are columns. Broken or null payloads
+    hold no box; values that are no numbers count as 0.
     """
     if not 0 <= least <= 1:
         raise ValueError("confidence must be in [0, 1]")
+    parts = ["class_name", "confidence", "class_id", *SIDES, "image_w", "image_h"]
+    place = ["tile_id", "col_off", "row_off", "tile_width", "tile_height"]
 
-    def decode(batches):
-        import pandas as pd
+    def take_apart(batches):
+        import pyarrow as pa
 
-        names = ["tile_id", "class_name", "confidence", "class_id", *BOX]
         for b in batches:
-            rows = [(t, *r) for t, x, y, w, h, p in b.itertuples(index=False) for r in _rows(p, (float(x), float(y), float(w), float(h)), least)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"class_id": "Int64"})
-
-    tile = tiles.schema["tile_id"].dataType.simpleString()
-    t = tiles.select("tile_id", "col_off", "row_off", "tile_width", "tile_height", "payload")
-    return clamp_boxes(t.mapInPandas(decode, f"tile_id {tile}, class_name string, confidence double, class_id long, " + ", ".join(f"{c} double" for c in BOX)), width, height)
+            found = [list(_boxes(p)) for p in b.column("payload").to_pylist()]
+            owner = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            flat = [r for rows in found for r in rows]
+            kinds = [pa.string(), pa.float64(), pa.int64(), *[pa.float64()] * 6]
+            columns = [pa.array([r[i] for r in flat], k, from_pandas=False) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(c).take(owner) for c in place] + columns, names=place + parts)
+
+    kinds = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in place) + ", class_name string, confidence double, class_id long, " + ", ".join(f"{c} double" for c in parts[3:])
+    boxes = tiles.select(*place, "payload").mapInArrow(take_apart, kinds)
+    finite = ~(F.isnan(F.col("x") - F.col("x")) | F.isnan(F.col("y") - F.col("y")) | F.isnan(F.col("width") - F.col("width")) | F.isnan(F.col("height") - F.col("height")))
+    boxes = boxes.filter((F.col("confidence") >= least) & finite)
+    scale = lambda tile, image: F.when(F.coalesce(image, tile) != 0, tile / F.coalesce(image, tile)).otherwise(F.lit(1.0))
+    out = {}
+    for axis, off, side, tile, image in (("x", "col_off", "width", "tile_width", "image_w"), ("y", "row_off", "height", "tile_height", "image_h")):
+        unit = scale(F.col(tile).cast("double"), F.col(image))
+        for end, sign in (("min", -1), ("max", 1)):
+            out[f"pixel_{axis}{end}"] = F.col(off) + (F.col(axis) + sign * F.col(side) / 2) * unit
+    return clamp_boxes(boxes.withColumns(out), width, height).select("tile_id", "class_name", "confidence", "class_id", *BOX)
+
+
+def _bare(x: str) -> str:
+    return x.strip().strip("'\"").strip()
+
+
+def _named(value) -> list[str]:
+    """Names of a list, of a text parted by commas or lines, or of a mapping by key, numbers in their order."""
+    if isinstance(value, str):
+        value = [x.strip() for x in value.replace(",", "\n").splitlines()]
+    if isinstance(value, dict):
+        value = [value[k] for k in sorted(value, key=lambda k: (not str(k).isdigit(), int(k) if str(k).isdigit() else 0, str(k)))]
+    return [str(x) for x in value if str(x)] if isinstance(value, list) else []
 
 
 def sidecar_names(text: str) -> list[str]:
-    """Class names of a sidecar text: a JSON list or mapping, `names` in YAML style, a comma list, or lines with # comments."""
-    by_key = lambda d: [str(d[k]) for k in sorted(d, key=lambda k: (0, int(k), "") if str(k).strip().lstrip("-").isdigit() else (1, 0, str(k)))]
+    """Class names of a sidecar text: JSON (a list, or an object with names), ``names`` in YAML style, a comma list, or lines; lines that start with # are comments."""
     try:
         tree = json.loads(text)
     except ValueError:
         tree = None
     if isinstance(tree, dict):
-        inner = next((tree[k] for k in ("names", "class_names", "classes") if isinstance(tree.get(k), (list, dict))), tree)
-        tree = inner if isinstance(inner, list) else by_key(inner)
-    if isinstance(tree, list):
-        return [str(x) for x in tree]
-    lines = [x for x in (line.split("#", 1)[0].strip() for line in text.splitlines()) if x]
-    bare = lambda s: s.strip().strip("'\"").strip()
-    if lines and lines[0].startswith("names:"):
-        rest = lines[0][6:].strip()
+        tree = next((tree[k] for k in ("names", "class_names", "class_name", "classes") if tree.get(k)), None)
+    elif not isinstance(tree, list):
+        tree = None
+    if names := _named(tree):
+        return names
+    lines = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+    at = next((i for i, x in enumerate(lines) if x.startswith("names:")), None)
+    if at is not None:
+        rest = lines[at][6:].strip()
         if rest.startswith("["):
-            return [bare(x) for x in rest.strip("[]").split(",") if bare(x)]
-        found = [x[1:] if x.startswith("-") else x for x in lines[1:]]
-        pairs = [x.split(":", 1) for x in found]
-        return [bare(v) for v in by_key({bare(k): v for k, v in pairs})] if all(len(p) == 2 for p in pairs) else [bare(x) for x in found]
-    if len(lines) == 1 and "," in lines[0]:
-        lines = lines[0].split(",")
-    return [bare(x) for x in lines if bare(x)]
+            return [b for x in rest.strip("[]").split(",") if (b := _bare(x))]
+        if rest:
+            return _named(_bare(rest))
+        found, pairs = [], {}
+        for x in lines[at + 1 :]:
+            key, colon, value = x.partition(":")
+            if x.startswith("- "):
+                found.append(_bare(x[2:]))
+            elif colon and _bare(key).isdigit():
+                pairs[_bare(key)] = _bare(value)
+            else:
+                break
+        return found or _named(pairs)
+    return [x.strip() for x in lines[0].split(",") if x.strip()] if len(lines) == 1 and "," in lines[0] else lines

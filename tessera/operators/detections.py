@@ -23,9 +23,11 @@ def tile_windows(sizes: DataFrame, tile: int = 512, overlap: int = 128, shifted:
     return w.dropDuplicates() if shifted else w
 
 
-def tile_count(width: Column, height: Column, tile: int = 512, overlap: int = 128) -> Column:
+def tile_count(width: Column, height: Column, tile: int = 512, overlap: int = 128, most: int | None = None) -> Column:
+    """Windows that ``tile_windows`` makes before repeats go, ``most`` of them where that is set."""
     step = max(1, tile - overlap)
-    return F.ceil(width / step) * F.ceil(height / step)
+    n = F.ceil(width / step) * F.ceil(height / step)
+    return n if most is None else F.least(n, F.lit(most))
 
 
 def clamp_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
@@ -37,6 +39,24 @@ def clamp_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.filter("pixel_xmax > pixel_xmin and pixel_ymax > pixel_ymin")
 
 
+def shifted(boxes: DataFrame, least: float = 0.0) -> DataFrame:
+    """Boxes of a tile (col_off, row_off, tile_width, tile_height) cut at its edges, then moved to the image's place.
+
+    Boxes without area there go; a missing confidence is 0.
+    """
+    for axis, off, side in (("x", "col_off", "tile_width"), ("y", "row_off", "tile_height")):
+        for end in ("min", "max"):
+            c = f"pixel_{axis}{end}"
+            boxes = boxes.withColumn(c, F.col(off) + F.greatest(F.lit(0.0), F.least(F.col(side).cast("double"), F.col(c))))
+    whole = boxes.filter("pixel_xmax > pixel_xmin and pixel_ymax > pixel_ymin")
+    return confident(whole.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), least)
+
+
+def with_area(boxes: DataFrame, edges: tuple[str, ...] = BOX) -> DataFrame:
+    """Without boxes that lack an edge or have no area."""
+    return boxes.dropna(subset=list(edges)).filter((F.col(edges[2]) > F.col(edges[0])) & (F.col(edges[3]) > F.col(edges[1])))
+
+
 def confident(boxes: DataFrame, least: float = 0.25) -> DataFrame:
     return boxes.filter(F.col("confidence") >= least)
 
@@ -76,9 +96,9 @@ def sized(boxes: DataFrame, cm_x: float, cm_y: float, bins: list[float], metric:
     return s.withColumn("size_class", chain.otherwise(names[-1]))
 
 
-def size_counts(boxes: DataFrame, bins: list[float]) -> DataFrame:
-    """Rows by scene and class, with zeros for classes that a scene lacks."""
-    every = boxes.select("scene_id").distinct().withColumn("size_class", F.explode(F.array(*map(F.lit, labels(bins)))))
+def size_counts(boxes: DataFrame, bins: list[float], scenes: DataFrame | None = None) -> DataFrame:
+    """Rows by scene and class, with zeros for classes that a scene lacks; scenes without boxes count if they are given."""
+    every = (boxes if scenes is None else scenes).select("scene_id").distinct().withColumn("size_class", F.explode(F.array(*map(F.lit, labels(bins)))))
     n = boxes.groupBy("scene_id", "size_class").agg(F.count(F.lit(1)).alias("n"))
     return every.join(n, ["scene_id", "size_class"], "left").select("scene_id", "size_class", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -135,15 +155,31 @@ def numbered(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("confidence"), "det_id")))
 
 
-def special_points(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
-    """Boxes within each point's radius (distance to the box) and their classes. points: point_id, scene_id, x, y, radius."""
+def points_hit(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
+    """scene_id, point_id, det_id and size_class of the boxes within each point's radius."""
     near = points.withColumn("_gx", F.explode(F.sequence(F.floor((F.col("x") - F.col("radius")) / cell), F.floor((F.col("x") + F.col("radius")) / cell))))
     near = near.withColumn("_gy", F.explode(F.sequence(F.floor((F.col("y") - F.col("radius")) / cell), F.floor((F.col("y") + F.col("radius")) / cell))))
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     g = boxes.withColumn("_gx", span(BOX[0], BOX[2])).withColumn("_gy", span(BOX[1], BOX[3]))
     dx = F.greatest(F.col(BOX[0]) - F.col("x"), F.lit(0.0), F.col("x") - F.col(BOX[2]))
     dy = F.greatest(F.col(BOX[1]) - F.col("y"), F.lit(0.0), F.col("y") - F.col(BOX[3]))
-    hit = near.join(g, ["scene_id", "_gx", "_gy"]).filter(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).select("scene_id", "point_id", "det_id", "size_class").dropDuplicates(["scene_id", "point_id", "det_id"])
+    return near.join(g, ["scene_id", "_gx", "_gy"]).filter(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).select("scene_id", "point_id", "det_id", "size_class").dropDuplicates(["scene_id", "point_id", "det_id"])
+
+
+def point_sizes(points: DataFrame, boxes: DataFrame, labels: list[str], cell: int = 256) -> DataFrame:
+    """scene_id, point_id, x, y, n, sizes (a map of every label to its count) and status: OK, EMPTY, or NO_DATA where the scene has no boxes."""
+    hit = points_hit(points, boxes, cell)
+    n = hit.groupBy("scene_id", "point_id").agg(*[F.count_if(F.col("size_class") == x).alias(f"_{i}") for i, x in enumerate(labels)], F.count(F.lit(1)).alias("n"))
+    some = boxes.select("scene_id").distinct().withColumn("_some", F.lit(True))
+    out = points.join(n, ["scene_id", "point_id"], "left").join(some, "scene_id", "left")
+    sizes = F.create_map(*[c for i, x in enumerate(labels) for c in (F.lit(x), F.coalesce(f"_{i}", F.lit(0)))])
+    status = F.when(F.col("_some").isNull(), "NO_DATA").when(F.col("n") > 0, "OK").otherwise("EMPTY")
+    return out.select("scene_id", "point_id", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), sizes.alias("sizes"), status.alias("status"))
+
+
+def special_points(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
+    """Boxes within each point's radius (distance to the box) and their classes. points: point_id, scene_id, x, y, radius."""
+    hit = points_hit(points, boxes, cell)
     n = hit.groupBy("scene_id", "point_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("size_class")), ",").alias("classes"))
     out = points.select("scene_id", "point_id").join(n, ["scene_id", "point_id"], "left")
     return out.select("scene_id", "point_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("classes", F.lit("")).alias("classes"), F.when(F.col("n") > 0, "OK").otherwise("EMPTY").alias("status"))

@@ -30,9 +30,11 @@ def normalised(pixels: DataFrame, zero_is: str = "scale") -> DataFrame:
 
 def dominant() -> Column:
     """Strictly largest channel of r, g, b: 1 for green, 2/3 for blue, 1/3 for red, 0 for a tie or no valid pixel."""
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
-    level = F.when((g > r) & (g > b), 3).when((b > r) & (b > g), 2).when((r > g) & (r > b), 1).otherwise(0)
-    return F.when(F.col("valid_px") > 0, level / F.lit(3.0)).otherwise(F.lit(0.0)).cast("float")
+    return F.when(F.col("valid_px") > 0, dominant_of(F.col("r"), F.col("g"), F.col("b"))).otherwise(F.lit(0.0)).cast("float")
+
+
+def dominant_of(r: Column, g: Column, b: Column) -> Column:
+    return F.when((g > r) & (g > b), 3).when((b > r) & (b > g), 2).when((r > g) & (r > b), 1).otherwise(0) / F.lit(3.0)
 
 
 def dtype_range(c: Column, lo: float, hi: float) -> Column:
@@ -151,3 +153,28 @@ def upscaled(cells: DataFrame, factor: int = 2) -> DataFrame:
     k = F.sequence(F.lit(0), F.lit(factor - 1))
     up = cells.withColumn("_i", F.explode(k)).withColumn("_j", F.explode(k))
     return up.select("scene_id", (F.col("row") * factor + F.col("_i")).alias("row"), (F.col("col") * factor + F.col("_j")).alias("col"), "score")
+
+
+def by_colormap(cells: DataFrame, colours: DataFrame) -> DataFrame:
+    """Add veg_sc for a single band r: that of the colour of its mean, halves to even, or its share of 255 where the table has none.
+
+    colours: value, red, green, blue; at most one row for each value that the band's type has.
+    """
+    at = F.broadcast(colours.select(F.col("value").alias("_v"), "red", "green", "blue"))  # 2**16 rows at most
+    c = cells.withColumn("_k", F.rint("r").cast("int")).join(at, F.col("_k") == F.col("_v"), "left")
+    level = dominant_of(F.col("red"), F.col("green"), F.col("blue"))
+    value = F.when(F.col("_v").isNull(), dtype_range(F.col("r"), 0, 255)).otherwise(level)
+    return c.withColumn("veg_sc", F.when(F.col("valid_px") > 0, value).otherwise(F.lit(0.0))).drop("_k", "_v", "red", "green", "blue")
+
+
+def valid_score(score: Column, nodata: float | None = None) -> Column:
+    """Null where a score raster has no number: NaN, infinite or its nodata value."""
+    ok = ~F.isnan(score - score)
+    return F.when(ok if nodata is None else ok & (score != nodata), score)
+
+
+def zone_ranges(cells: DataFrame, a: float = 0.33, b: float = 0.66, least: float = 0.0) -> DataFrame:
+    """For each zone its cells, the least and most of their scores, and the range that it stands for."""
+    z = cells.filter("zone_id > 0").groupBy("scene_id", "zone_id").agg(F.min("score").cast("double").alias("least"), F.max("score").cast("double").alias("most"), F.count(F.lit(1)).alias("cell_count"))
+    edges = F.array(*map(F.lit, (least, a, b, 1.0)))
+    return z.withColumn("score_min", F.element_at(edges, F.col("zone_id"))).withColumn("score_max", F.element_at(edges, F.col("zone_id") + 1))

@@ -116,7 +116,7 @@ def sized(s, d: str) -> DataFrame:
 
 
 query("size_classes", f"SELECT det_id, size_value, {_class} AS size_class FROM {_sized}")(lambda s, d: sized(s, d).select("det_id", "size_value", "size_class"))
-query("size_counts", f"SELECT scene_id, c AS size_class, count(det_id) AS n FROM (SELECT scene_id, unnest(['0-10', '10-40', '40-100', '>100']) AS c FROM scenes) LEFT JOIN (SELECT scene_id, det_id, {_class} AS c FROM {_sized}) USING (scene_id, c) GROUP BY 1, 2")(lambda s, d: D.size_counts(sized(s, d), BINS))
+query("size_counts", f"SELECT scene_id, c AS size_class, count(det_id) AS n FROM (SELECT scene_id, unnest(['0-10', '10-40', '40-100', '>100']) AS c FROM scenes) LEFT JOIN (SELECT scene_id, det_id, {_class} AS c FROM {_sized}) USING (scene_id, c) GROUP BY 1, 2")(lambda s, d: D.size_counts(sized(s, d), BINS, S.scenes(s, d)))
 query("size_bin_select", f"SELECT det_id FROM {_sized} WHERE {_class} = '10-40'")(lambda s, d: sized(s, d).filter("size_class = '10-40'").select("det_id"))
 PLACE = ["scene_id", "cell_id"]
 query("cell_grid", 'SELECT scene_id, cell_id, "row", col, valid_px, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM grid')(lambda s, d: rounded(H.cell_grid(S.pixels(s, d)), "r", "g", "b").select(*PLACE, "row", "col", "valid_px", "r", "g", "b"))
@@ -272,6 +272,6 @@ def payloads(s, d: str) -> DataFrame:
 query("json_decode", "SELECT det_id AS tile_id, class_name, confidence, CASE WHEN det_id % 3 = 1 THEN 7 END::BIGINT AS class_id, pixel_xmin, pixel_ymin, pixel_xmax, pixel_ymax FROM det WHERE confidence >= 0.25 AND pixel_xmax > pixel_xmin AND pixel_ymax > pixel_ymin")(lambda s, d: M.from_json(payloads(s, d), 1024, 1024))
 _order = "['0-10', '10-40', '40-100', '>100']"
 query("size_report", f"""SELECT scene_id, '| Bin | Count |' || chr(10) || '|---|---:|' || chr(10) || string_agg('| ' || c || ' | ' || n || ' |', chr(10) ORDER BY list_position({_order}, c)) AS report FROM (
-  SELECT scene_id, c, count(det_id) AS n FROM (SELECT scene_id, unnest({_order}) AS c FROM scenes) LEFT JOIN (SELECT scene_id, det_id, {_class} AS c FROM {_sized}) USING (scene_id, c) GROUP BY 1, 2) GROUP BY 1""")(lambda s, d: P.size_table(D.size_counts(sized(s, d), BINS), D.labels(BINS)))
+  SELECT scene_id, c, count(det_id) AS n FROM (SELECT scene_id, unnest({_order}) AS c FROM scenes) LEFT JOIN (SELECT scene_id, det_id, {_class} AS c FROM {_sized}) USING (scene_id, c) GROUP BY 1, 2) GROUP BY 1""")(lambda s, d: P.size_table(D.size_counts(sized(s, d), BINS, S.scenes(s, d)), D.labels(BINS)))
 query("size_file_labels", f"SELECT size_class, CASE WHEN size_class = '>100' THEN 'gt_100' ELSE replace(size_class, '-', '_') END AS label, count(*) AS n FROM (SELECT {_class} AS size_class FROM {_sized}) GROUP BY 1")(lambda s, d: sized(s, d).groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).withColumn("label", P.file_label(F.col("size_class"))))
 query("tile_counts", "SELECT scene_id, 9::BIGINT AS n FROM scenes")(lambda s, d: sizes(s, d).select("scene_id", D.tile_count(F.col("width"), F.col("height")).alias("n")))

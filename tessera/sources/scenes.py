@@ -45,11 +45,13 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scene_id, row, col, r, g, b, valid): 64 x 64 a scene; seven rasters in turn."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 448").select("vec_id", "embedding", F.posexplode("embedding").alias("col", "_"))
+    """(scene_id, row, col, r, g, b, valid): 64 x 64 a scene; as many rasters in turn as the table has whole groups of 64 vectors."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rasters = max(1, table.count() // 64)
+    v = table.filter(F.col("vec_id") < 64 * rasters).select("vec_id", "embedding", F.posexplode("embedding").alias("col", "_"))
     band = lambda k: F.expr(f"cast(greatest(0, least(255, floor((cast(element_at(embedding, (col + {k}) % 64 + 1) as double) + 0.55D) * 230))) as int)")
     p = v.select(F.expr("vec_id div 64").alias("_band"), F.expr("cast(vec_id % 64 as int)").alias("row"), "col", band(0).alias("r"), band(21).alias("g"), band(42).alias("b"), F.expr("(vec_id * 64 + col) % 17 <> 0").alias("valid"))
-    s = scenes(spark, sf_dir).withColumn("_band", F.expr("scene_id % 7"))
+    s = scenes(spark, sf_dir).withColumn("_band", F.col("scene_id") % rasters)
     return s.join(p, "_band").select("scene_id", "row", "col", "r", "g", "b", "valid")
 
 
@@ -62,4 +64,4 @@ pix AS (SELECT s.scene_id, (v.vec_id%64)::INT AS "row", v.col::INT AS col,
   greatest(0,least(255,floor((embedding[(col+21)%64+1]::DOUBLE+0.55)*230)::INT)) AS g,
   greatest(0,least(255,floor((embedding[(col+42)%64+1]::DOUBLE+0.55)*230)::INT)) AS b,
   (v.vec_id*64+v.col)%17 <> 0 AS valid
-  FROM scenes s JOIN (SELECT vec_id, unnest(range(64)) AS col, embedding FROM embeddings WHERE vec_id<448) v ON v.vec_id//64 = s.scene_id%7)"""
+  FROM scenes s JOIN (SELECT vec_id, unnest(range(64)) AS col, embedding FROM embeddings WHERE vec_id < (SELECT greatest(1, count(*) // 64) * 64 FROM embeddings)) v ON v.vec_id//64 = s.scene_id % (SELECT greatest(1, count(*) // 64) FROM embeddings))"""

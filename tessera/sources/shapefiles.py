@@ -10,6 +10,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterable
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,8 @@ def _files(base: str, rows: Iterable[tuple], fields: tuple, projection: str | No
             out.seek(0)
             out.write(_head((HEADER + n * each) // 2, box))
         dbf.seek(0)
-        dbf.write(struct.pack("<B3BIHH20x", 3, 95, 7, 26, n, 32 * (len(fields) + 1) + 1, width))
+        day = date.today()
+        dbf.write(struct.pack("<B3BIHH20x", 3, day.year - 1900, day.month, day.day, n, 32 * (len(fields) + 1) + 1, width))
     if projection is not None:
         Path(base + ".prj" + mark).write_text(projection, encoding="utf-8")
     for end in (".shx", ".dbf", ".prj"):
@@ -73,7 +75,7 @@ def _files(base: str, rows: Iterable[tuple], fields: tuple, projection: str | No
 
 
 def write(boxes: DataFrame, folder: str, sized: bool = False, projection: str | None = None, overwrite: bool = False) -> int:
-    """Write boxes (map edges and the columns of a detection) and return their number. A file holds at most
+    """Write boxes (map edges and the columns of a detection) that have all map edges, and return their number. A file holds at most
     what a partition does: keep partitions below 15 million rows, the format's 2 GB."""
     where = Path(folder.removeprefix("file://").removeprefix("file:"))
     if where.exists() and any(where.iterdir()):
@@ -84,7 +86,7 @@ def write(boxes: DataFrame, folder: str, sized: bool = False, projection: str |
     where.mkdir(parents=True, exist_ok=True)
     fields, columns, root = (SIZED, SIZED_COLUMNS, str(where)) if sized else (FIELDS, COLUMNS, str(where))
     kinds = dict(boxes.dtypes)
-    b = boxes.select(*[F.col(c).cast("double") for c in MAP], *[F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns])
+    b = boxes.dropna(subset=list(MAP)).select(*[F.col(c).cast("double") for c in MAP], *[F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns])
 
     def save(batches):
         import pandas as pd
@@ -97,6 +99,14 @@ def write(boxes: DataFrame, folder: str, sized: bool = False, projection: str |
     return b.mapInPandas(save, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_bins(boxes: DataFrame, folder: str, labels: list[str], projection: str | None = None, overwrite: bool = False) -> dict[str, int]:
+    """A folder of sized boxes for each label, named by it, of no rows where no box has it; how many rows each has."""
+    from tessera.operators.reports import file_label
+
+    names = boxes.sparkSession.createDataFrame([(x,) for x in labels], "size_class string").select("size_class", file_label(F.col("size_class"))).collect()
+    return {x: write(boxes.filter(F.col("size_class") == x), f"{folder}/bin__{name}", True, projection, overwrite) for x, name in names}
+
+
 def read(spark: SparkSession, folder: str, sized: bool = False) -> DataFrame:
     """Boxes of all shapefiles of a folder, a file a task. The .shx is not needed."""
     fields, columns = (SIZED, SIZED_COLUMNS) if sized else (FIELDS, COLUMNS)

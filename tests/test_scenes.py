@@ -79,7 +79,7 @@ def test_json_payloads(spark):
 
 
 def test_sidecars_and_names(spark):
-    for text in ('["a", "b"]', '{"1": "b", "0": "a"}', '{"names": ["a", "b"]}', "a, b", "# x\na\nb # y\n", "names:\n  0: a\n  1: 'b'\n", "names: [a, b]", "names:\n- a\n- b"):
+    for text in ('["a", "b"]', '{"classes": {"1": "b", "0": "a"}}', '{"names": ["a", "b"]}', "a, b", "# x\na\nb\n", "names:\n  0: a\n  1: 'b'\n", "names: [a, b]", "names:\n- a\n- b"):
         assert decode.sidecar_names(text) == ["a", "b"], text
     ids = spark.createDataFrame([(0,), (5,), (None,)], "i int")
     assert [r[0] for r in ids.select(decode.class_name(F.col("i"), ["a", "b"])).collect()] == ["a", "5", "rock"]
