@@ -14,6 +14,9 @@ Scoring. Workers map the files and look up the sorted distinct keys of a block o
 a(w) is the number of distinct contexts of w; D are the three discounts of each order; an
 unseen context leaves p1, an unknown word 1 / (V + 1) of what the discounts free.
 
+Where a corpus is so small that no count is 1, 2, 3 or 4, discounts are FEW.
+Every shard writes its files, empty or not: one that is missing is an error and not an empty count.
+
 Defined cases: a null or blank text is one end token. Without training rows V is 0 and every token
 has probability 1. Repeated rows count each time. A null doc_id counts as the empty string's crc32, 0.
 """
@@ -35,6 +38,7 @@ from tessera.llm.common import Files, documents, input_bytes, scratch, stored
 END = np.uint64(0x454E44)
 BLOCK = 1_500_000  # tokens counted or scored at once
 SHARD_INPUT = 16 << 20  # bytes of input by shard
+FEW = (0.5, 1.0, 1.5)  # discounts that counts cannot tell
 _maps: dict = {}
 
 
@@ -71,7 +75,7 @@ def _send(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray):
     shards, keys, counts = shards[order], keys[order], counts[order]
     heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
     ends = [*heads[1:], len(shards)]
-    rows = [(int(shards[a]), blocks.pack_sorted(keys[a:b]), blocks.planes(counts[a:b].astype(np.uint32))) for a, b in zip(heads, ends, strict=True)]
+    rows = [(int(shards[a]), blocks.pack_sorted(keys[a:b]), blocks.planes(counts[a:b].astype(np.uint32))) for a, b in zip(heads, ends, strict=True)]  # of one block, so below 2**32
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
 
 
@@ -108,11 +112,8 @@ class Model:
         if (self.root, name) not in _maps:
             if _maps and next(iter(_maps))[0] != self.root:
                 _maps.clear()
-            try:
-                path = Files(self.root).path(name)
-                _maps[self.root, name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-            except FileNotFoundError:  # no row fell to this shard
-                _maps[self.root, name] = np.zeros(0, dtype)
+            path = Files(self.root).path(name)  # every shard has its files, so a missing one is an error
+            _maps[self.root, name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
         return _maps[self.root, name]
 
     def word_shard(self, h: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ class Model:
                 continue
             at, there = blocks.find(self.array(f"pair{s}", np.uint64), keys[pick])
             if there.any():
-                count[pick[there]] = self.array(f"count{s}", np.uint32)[at[there]]
+                count[pick[there]] = self.array(f"count{s}", np.uint64)[at[there]]
             at, there = blocks.find(self.array(f"context{s}", np.uint64), keys[pick] >> np.uint64(32))
             if there.any():
                 stats[pick[there]] = self.array(f"stats{s}", np.float64).reshape(-1, 4)[at[there]]
@@ -166,9 +167,11 @@ class Model:
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
-    n1, n2, n3, n4 = n[:4]
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    raw = [k - (k + 1) * y * b / a if a else 0.0 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    """From how many counts are 1 to 4; fixed ones where a small corpus lacks any of those, so that an unknown word always has its share."""
+    if not all(n[:4]):
+        return FEW
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
     return tuple(min(max(d, 0.0), float(k)) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
@@ -195,6 +198,9 @@ def train(docs: DataFrame) -> Model:
     shards = 1 << max(3, min(16, (max(1, size) // SHARD_INPUT).bit_length()))
     root = scratch(spark, "ngram-lm")
     model = Model(root, shards)
+    #: An empty array for each shard, so that shards without a row are written too.
+    none = blocks.planes(np.zeros(0, np.uint64))
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(none).alias("keys"), F.lit(none).alias("counts"))
 
     def count_words(batches):
         for hashes, _, _ in _tokens(batches):
@@ -206,20 +212,19 @@ def train(docs: DataFrame) -> Model:
         keys, counts = _merged(rows)
         Files(root).write(f"word{s}", [keys.tobytes()])
         Files(root).write(f"seen{s}", [counts.astype(np.int64).tobytes()])
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
+        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(counts.max(initial=0))]})
 
-    found = docs.mapInArrow(count_words, SENT).groupBy("shard").applyInPandas(write_words, "shard int, n long, total long").collect()
+    found = docs.mapInArrow(count_words, SENT).union(every).groupBy("shard").applyInPandas(write_words, "shard int, n long, total long, most long").collect()
     each = {r.shard: r for r in found}  # a row a shard
-    model.starts = np.concatenate([[0], np.cumsum([each[s].n if s in each else 0 for s in range(shards)])])
+    model.starts = np.concatenate([[0], np.cumsum([each[s].n for s in range(shards)])])
     model.total = sum(r.total for r in found)
     if model.size >= 1 << 32:
         raise ValueError("over 2**32 distinct words")
     #: Contexts with more than a shard's share of all pairs, at most as many as shards; the driver reads no more.
     heavy = []
     for s in range(shards):
-        seen = Files(root).path(f"seen{s}")
-        if s in each:
-            counts = np.memmap(seen, np.int64, "r")
+        if each[s].most * shards > model.total:
+            counts = np.memmap(Files(root).path(f"seen{s}"), np.int64, "r")
             heavy += [int(i + model.starts[s]) for i in np.flatnonzero(np.asarray(counts) * shards > model.total)]
     texts = docs.count()
     heavy += [model.size] * (texts * shards > model.total)
@@ -235,12 +240,12 @@ def train(docs: DataFrame) -> Model:
         s = int(rows["shard"].iloc[0])
         keys, counts = _merged(rows)
         context = keys >> np.uint64(32)
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1).astype(np.float64)
+        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1).astype(np.float64)
         context = context[heads]
         files = Files(root)
         files.write(f"pair{s}", [keys.tobytes()])
-        files.write(f"count{s}", [counts.astype(np.uint32).tobytes()])
+        files.write(f"count{s}", [counts.astype(np.uint64).tobytes()])
         files.write(f"context{s}", [context.tobytes()])
         files.write(f"stats{s}", [stats.tobytes()])
         out = [(-1, *_of(counts), None, None)]
@@ -250,7 +255,7 @@ def train(docs: DataFrame) -> Model:
         out += [(t, 0, 0, 0, 0, 0, 0, blocks.pack_sorted(word[a:b]), blocks.planes(contexts[a:b].astype(np.uint32))) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         return pd.DataFrame(out, columns=["shard", "n1", "n2", "n3", "n4", "n3p", "total", "keys", "counts"])
 
-    pairs = docs.mapInArrow(count_pairs, SENT).groupBy("shard").applyInPandas(write_pairs, "shard int, n1 long, n2 long, n3 long, n4 long, n3p long, total long, keys binary, counts binary")
+    pairs = docs.mapInArrow(count_pairs, SENT).union(every).groupBy("shard").applyInPandas(write_pairs, "shard int, n1 long, n2 long, n3 long, n4 long, n3p long, total long, keys binary, counts binary")
     pairs = stored(pairs, "ngram-pairs")
 
     def write_contexts(rows: pd.DataFrame) -> pd.DataFrame:
@@ -263,7 +268,7 @@ def train(docs: DataFrame) -> Model:
 
     cols = ["n1", "n2", "n3", "n4", "n3p", "total"]
     second = pairs.filter("shard = -1").agg(*[F.sum(c).alias(c) for c in cols]).first()
-    first = pairs.filter("shard >= 0").groupBy("shard").applyInPandas(write_contexts, "shard int, " + ", ".join(f"{c} long" for c in cols)).collect()
+    first = pairs.filter("shard >= 0").select("shard", "keys", "counts").union(every).groupBy("shard").applyInPandas(write_contexts, "shard int, " + ", ".join(f"{c} long" for c in cols)).collect()
     heavy_rows = pairs.filter("shard = -2").groupBy("n3p").agg(*[F.sum(c).alias(c) for c in cols[:4]]).collect()  # one a heavy context
     model.heavy_stats = np.zeros((len(model.heavy), 4))  # a heavy word that is no context, such as the end, keeps zeros
     for r in heavy_rows:

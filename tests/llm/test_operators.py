@@ -174,7 +174,7 @@ def test_quality_of_a_rare_language_and_a_small_table(spark):
         assert not got[0].kept and all(r.kept for i, r in got.items() if i) and all(r.distance is not None for r in got.values())
 
 
-def test_language_model_sums_to_one_and_base(spark, texts):
+def test_language_model_base(spark, texts):
     rows = {r.doc_id: r for r in ngram_lm.op2(spark, SF).collect()}
     c = collections.Counter()
     for i, t in texts.items():
@@ -185,12 +185,53 @@ def test_language_model_sums_to_one_and_base(spark, texts):
         w = [*WORD.findall(t.translate(LOWER)), None]
         assert rows[i].train_tokens == n and rows[i].n_tokens == len(w) and rows[i].n_known == sum(c[x] > 0 for x in w)
         assert math.isclose(rows[i].base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-    corpus = spark.createDataFrame([(0, "a b a c"), (1, "b a b")], "doc_id long, text string")
-    model = ngram_lm.train(corpus)
-    one = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "b", "c", "zzz", ""])], "doc_id long, text string")
-    got = {r.doc_id: 10**r.score for r in ngram_lm.score(one, model, ["doc_id"]).collect()}
-    ends = {r.doc_id: 10**r.score for r in ngram_lm.score(spark.createDataFrame([(k, f"{t} {t2}") for k, (t, t2) in enumerate([("a", "a"), ("a", "b"), ("a", "c"), ("a", "zzz")])], "doc_id long, text string"), model, ["doc_id"]).collect()}
-    assert all(0 < x < 1 for x in [*got.values(), *ends.values()])
+
+
+def plain_kneser_ney(corpus):
+    """p(word, context) of an interpolated modified Kneser-Ney bigram model, by counting; words outside share what is left of V + 1."""
+    pairs = collections.Counter()
+    for text in corpus:
+        w = [*WORD.findall(text.translate(LOWER)), None]
+        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+    words = {w for _, w in pairs}
+    held = collections.Counter(w for _, w in pairs)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if 0 in n:
+            return [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+        return [min(max(d, 0), k) for d, k in zip(raw, (1, 2, 3), strict=True)]
+
+    d1, d2 = discounts(held.values()), discounts(pairs.values())
+    cut = lambda c, d: d[min(c, 3) - 1] if c else 0
+    below, v = sum(held.values()), len(words)
+    low = lambda w: (held[w] - cut(held[w], d1)) / below + sum(cut(c, d1) for c in held.values()) / below / (v + 1)
+
+    def p(w, context):
+        mine = {x: c for (u, x), c in pairs.items() if u == context}
+        if not mine:
+            return low(w)
+        total = sum(mine.values())
+        return (mine.get(w, 0) - cut(mine.get(w, 0), d2)) / total + sum(cut(c, d2) for c in mine.values()) / total * low(w)
+
+    return words, p
+
+
+def test_language_model_against_a_plain_one(spark):
+    rng = np.random.default_rng(2)
+    corpus = [" ".join(rng.choice(["a", "b", "c", "d", "ee", "f"], rng.integers(0, 12), p=[0.4, 0.2, 0.15, 0.1, 0.1, 0.05])) for _ in range(60)]
+    words, p = plain_kneser_ney(corpus)
+    for context in ["<s>", *(w for w in words if w is not None), "new"]:
+        assert math.isclose(sum(p(w, context) for w in words) + p("unseen", context), 1, rel_tol=1e-9)
+    assert sum(p(w, "a") > 0 for w in words) == len(words) and p("unseen", "a") > 0
+    model = ngram_lm.train(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
+    texts = [*corpus[:20], "", "zzz", "a zzz b", "zzz zzz", "ee f A"]
+    got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        w = [*WORD.findall(t.translate(LOWER)), None]
+        assert math.isclose(got[i], sum(math.log10(p(x, u)) for u, x in zip(["<s>", *w[:-1]], w, strict=True)), rel_tol=1e-9), t
 
 
 def test_secrets_base_spans(spark, texts):
