@@ -507,7 +507,8 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, orders: int
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, orders: int = 2) -> DataFrame:
     """The rows of docs without those whose doc_id is not the smallest of its component.
 
-    The ids that go are written as sorted files and mapped by the workers, so texts are not shuffled.
+    The ids that go are written as sorted files and mapped by the workers, so texts are not shuffled. Rows that
+    share a doc_id stay or go together, and rows without one stay: there is no id to choose them by.
     """
     gone = stored(join(docs, n, num, den, orders).filter("component_id <> doc_id").select(F.col("doc_id").alias("node"), "doc_id").distinct(), "jaccard-gone")
     root, shards = scratch(docs.sparkSession, "jaccard-gone"), _shards(gone.count())
