@@ -1,18 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, kept as sorted hash arrays that workers map.
 
-Counting. Tasks hash the words of whole Arrow columns, count distinct words and then distinct
-pairs of word numbers in blocks, and send each shard one compact array a block. Reducers merge a
-shard's arrays and write them, sorted, as plain files in the shared folder (``Files``). Word
-shards are ranges of the word hash, pair shards hashes of the context; contexts with over a
-shard's share of the pairs are dealt by pair, and only their totals are joined up again. Number of shards
-follows the input, so a reducer's memory does not. The model holds every pair of the corpus.
+Counting. Tasks hash the words of whole Arrow columns, count distinct words and then distinct n-grams
+of word numbers in blocks, and send each shard one compact array a block. Reducers merge a
+shard's arrays and write them, sorted, as plain files in the shared folder (``Files``). Counts of a lower
+order are of the distinct n-grams above, so reducers send each n-gram without its first word on to the next order. Word
+shards are ranges of the word hash, others hashes of the context; contexts with over a
+shard's share of the tokens are dealt by n-gram, and only their totals are joined up again. Number of shards
+follows the input, so a reducer's memory does not. The model holds every n-gram of the corpus.
 
 Scoring. Workers map the files and look up the sorted distinct keys of a block of texts.
 
-  p(w|v) = (c(vw) - D(c)) / c(v.) + g(v) p1(w),  p1(w) = (a(w) - D'(a)) / a(.) + g1 / (V + 1)
+  p(w|uv) = (c(uvw) - D(c)) / c(uv.) + g(uv) p(w|v)
+  p(w|v) = (a(vw) - D'(a)) / a(v.) + g(v) p(w)
+  p(w) = (a(w) - D"(a)) / a(.) + g / (V + 1)
 
-a(w) is the number of distinct contexts of w; D are the three discounts of each order; an
-unseen context leaves p1, an unknown word 1 / (V + 1) of what the discounts free.
+a is the number of distinct words before; at order 2 pairs keep their counts. D are the three discounts of each order; an
+unseen context leaves the order below, an unknown word 1 / (V + 1) of what the discounts free. A text has a start before it
+for each word of the longest context.
 
 Where a corpus is so small that no count is 1, 2, 3 or 4, discounts are FEW.
 Every shard writes its files, empty or not: one that is missing is an error and not an empty count.
@@ -36,6 +40,10 @@ from tessera.llm.common import Files, documents, input_bytes, scratch, stored
 
 #: The end of a text among word hashes.
 END = np.uint64(0x454E44)
+#: The start before a text, where words are hashes; its number is V.
+START = np.uint64(0x535441)
+NONE = np.uint64(0xFFFFFFFF)  # the number of an unknown word within a key
+ORDER = 3
 BLOCK = 1_500_000  # tokens counted or scored at once
 SHARD_INPUT = 16 << 20  # bytes of input by shard
 FEW = (0.5, 1.0, 1.5)  # discounts that counts cannot tell
@@ -69,23 +77,42 @@ def _tokens(batches, extra: int = 0):
         yield done()
 
 
-def _send(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """One row a shard: its keys, ascending, and their counts."""
+def _send(shards: np.ndarray, keys: np.ndarray, words: np.ndarray | None, counts: np.ndarray) -> list[tuple]:
+    """One row a shard: its keys (words or contexts), ascending, the words after contexts, and counts."""
     order = np.argsort(shards, kind="stable")
-    shards, keys, counts = shards[order], keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
+    shards, keys, counts = shards[order], keys[order], counts[order].astype(np.uint32)  # of one block, so below 2**32
+    words = None if words is None else words[order].astype(np.uint32)
+    if not len(shards):
+        return []
+    heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
     ends = [*heads[1:], len(shards)]
-    rows = [(int(shards[a]), blocks.pack_sorted(keys[a:b]), blocks.planes(counts[a:b].astype(np.uint32))) for a, b in zip(heads, ends, strict=True)]  # of one block, so below 2**32
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
+    return [(int(shards[a]), blocks.pack_sorted(keys[a:b]), None if words is None else blocks.planes(words[a:b]), blocks.planes(counts[a:b])) for a, b in zip(heads, ends, strict=True)]
 
 
-SENT = "shard int, keys binary, counts binary"
+SENT = "shard int, keys binary, words binary, counts binary"
+_SENT = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
 
 def _merged(rows: pd.DataFrame):
     return blocks.merge_counts([blocks.unpack_sorted(b) for b in rows["keys"]], [blocks.unplanes(b, np.uint32) for b in rows["counts"]])
 
 
+def _coded(x: np.ndarray) -> list[bytes]:
+    """Whole numbers as a byte each; places and values of those of 255 and more come before."""
+    big = np.flatnonzero(x >= 255)
+    return [np.array([len(big)], np.uint64).tobytes(), big.astype(np.int64).tobytes(), x[big].astype(np.int64).tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes()]
+
+
+def _grams(contexts: np.ndarray, words: np.ndarray):
+    """Distinct contexts, and each row's key: the place of its context, then its word."""
+    distinct, place = np.unique(contexts, return_inverse=True)
+    return distinct, place.astype(np.uint64) << np.uint64(32) | words.astype(np.uint64) & NONE
+
+
 def _of(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3, 4 and 3 or more, and the sum."""
     return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts >= 3).sum()), int(counts.sum())]
@@ -94,14 +121,14 @@ def _of(counts: np.ndarray) -> list[int]:
 class Model:
     """What workers need: the folder, the shards and a few numbers. Arrays are mapped on first use."""
 
-    def __init__(self, root: str, shards: int):
-        self.root, self.shards = root, shards
+    def __init__(self, root: str, shards: int, order: int):
+        self.root, self.shards, self.order = root, shards, order
         self.bits = shards.bit_length() - 1
         self.starts = np.zeros(shards + 1, np.int64)
         self.total = 0
-        self.heavy = np.zeros(0, np.uint64)
-        self.heavy_stats = np.zeros((0, 4))
-        self.d1 = self.d2 = (0.0, 0.0, 0.0)
+        self.heavy = {k: np.zeros(0, np.uint64) for k in (2, 3)}
+        self.heavy_stats = {k: np.zeros((0, 4)) for k in (2, 3)}
+        self.discounts = {}
         self.unigram = (0, 0, 0, 0)
 
     @property
@@ -140,29 +167,40 @@ class Model:
                 out[a:b] = self.array(f"{name}{s}", dtype)[ids[a:b] - self.starts[s]]
         return out
 
-    def pair_shard(self, keys: np.ndarray) -> np.ndarray:
-        context = keys >> np.uint64(32)
-        dealt = np.where(blocks.find(self.heavy, context)[1], keys, context)
-        return (blocks.mix(dealt) % np.uint64(self.shards)).astype(np.int64)
+    def numbers(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Values of a coded array at the places given."""
+        raw = self.array(name, np.uint8)
+        n = int(raw[:8].view(np.uint64)[0])
+        out = raw[8 + 16 * n :][at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = raw[8 + 8 * n : 8 + 16 * n].view(np.int64)[np.searchsorted(raw[8 : 8 + 8 * n].view(np.int64), at[big])]
+        return out
+
+    def dealt(self, k: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Shards of n-grams: by context, heavy contexts by n-gram."""
+        by = blocks.mix(contexts)
+        hot = np.flatnonzero(blocks.find(self.heavy[k], contexts)[1])
+        by[hot] = blocks.mix(by[hot] + words[hot].astype(np.uint64))
+        return (by % np.uint64(self.shards)).astype(np.int64)
 
-    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For ascending pair keys: counts (0: unseen), and (total, n1, n2, n3+) of their contexts."""
-        count, stats, shard = np.zeros(len(keys)), np.zeros((len(keys), 4)), self.pair_shard(keys)
+    def grams(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For n-grams of order k: counts (0: unseen), and (total, n1, n2, n3+) of their contexts."""
+        count, stats, shard = np.zeros(len(words)), np.zeros((len(words), 4)), self.dealt(k, contexts, words)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             pick = order[cuts[s] : cuts[s + 1]]
+            at, there = blocks.find(self.array(f"context{k}-{s}", np.uint64), contexts[pick])
+            pick, at = pick[there], at[there]
             if not len(pick):
                 continue
-            at, there = blocks.find(self.array(f"pair{s}", np.uint64), keys[pick])
-            if there.any():
-                count[pick[there]] = self.array(f"count{s}", np.uint64)[at[there]]
-            at, there = blocks.find(self.array(f"context{s}", np.uint64), keys[pick] >> np.uint64(32))
-            if there.any():
-                stats[pick[there]] = self.array(f"stats{s}", np.float64).reshape(-1, 4)[at[there]]
-        at, there = blocks.find(self.heavy, keys >> np.uint64(32))
+            stats[pick] = self.numbers(f"stats{k}-{s}", (at[:, None] * 4 + np.arange(4)).ravel()).reshape(-1, 4)
+            at, there = blocks.find(self.array(f"gram{k}-{s}", np.uint64), at.astype(np.uint64) << np.uint64(32) | words[pick])
+            count[pick[there]] = self.numbers(f"count{k}-{s}", at[there])
+        at, there = blocks.find(self.heavy[k], contexts)
         if there.any():
-            stats[there] = self.heavy_stats[at[there]]
+            stats[there] = self.heavy_stats[k][at[there]]
         return count, stats
 
 
@@ -179,48 +217,94 @@ def _discounted(c: np.ndarray, d: tuple) -> np.ndarray:
     return c - np.select([c >= 3, c == 2, c == 1], [d[2], d[1], d[0]], 0.0)
 
 
-def _pairs_of(model: Model, hashes: np.ndarray, at: np.ndarray):
-    """Word numbers by token (-1 unknown) and the number before each (V at a text's start)."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    known = model.ids(distinct)
-    ids = known[back]
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = model.size
-    return distinct, known, back, ids, before
+def _before(x: np.ndarray, at: np.ndarray, start, back: int) -> np.ndarray:
+    """What stands ``back`` places before each token of its text, or the start."""
+    out = np.empty_like(x)
+    out[back:] = x[: len(x) - back]
+    for i in range(back):
+        place = at[:-1] + i
+        out[place[place < at[1:]]] = start
+    return out
 
 
-def train(docs: DataFrame) -> Model:
-    """Count docs (column text) and write the model to the shared folder."""
+def _numbered(model: Model, hashes: np.ndarray):
+    """Distinct hashes' word numbers (-1 unknown), the way back to tokens, and the number of each token."""
+    distinct, back = np.unique(hashes, return_inverse=True)
+    known = model.ids(distinct)
+    return known, back, known[back]
+
+
+def _contexts(model: Model, k: int, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose k - 1 predecessors are all known or starts, and these as one number."""
+    last = _before(ids, at, model.size, 1)
+    if k == 2:
+        rows = np.flatnonzero(last >= 0)
+        return rows, last[rows].astype(np.uint64)
+    first = _before(ids, at, model.size, 2)
+    rows = np.flatnonzero((first >= 0) & (last >= 0))
+    return rows, first[rows].astype(np.uint64) << np.uint64(32) | last[rows].astype(np.uint64)
+
+
+def _hot(hashes: np.ndarray, at: np.ndarray, keys: np.ndarray, counts: np.ndarray, least: float):
+    """Pairs of following words, starts included, that stand before at least ``least`` tokens of a block, and how often."""
+    often = keys[counts >= least]
+    often = np.unique(np.append(often, START)) if len(at) - 1 >= least else often
+    first, last = _before(hashes, at, START, 2), _before(hashes, at, START, 1)
+    a, there = blocks.find(often, first)
+    b, too = blocks.find(often, last)
+    pairs, n = np.unique((a * max(1, len(often)) + b)[there & too], return_counts=True)
+    pairs, n = pairs[n >= least], n[n >= least]
+    return often[pairs // max(1, len(often))], often[pairs % max(1, len(often))], n
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count docs (column text) and write the model of order 2 or 3 to the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     docs = docs.select("text")
     size = input_bytes(docs)
     shards = 1 << max(3, min(16, (max(1, size) // SHARD_INPUT).bit_length()))
     root = scratch(spark, "ngram-lm")
-    model = Model(root, shards)
+    model = Model(root, shards, order)
     #: An empty array for each shard, so that shards without a row are written too.
-    none = blocks.planes(np.zeros(0, np.uint64))
-    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(none).alias("keys"), F.lit(none).alias("counts"))
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(None).cast("binary").alias("words"), F.lit(b"").alias("counts"))
+    empty = every.withColumn("words", F.lit(b""))
 
     def count_words(batches):
-        for hashes, _, _ in _tokens(batches):
+        for hashes, at, _ in _tokens(batches):
             keys, counts = np.unique(hashes, return_counts=True)
-            yield _send(model.word_shard(keys), keys, counts)
+            rows = _send(model.word_shard(keys), keys, None, counts)
+            if order == 3:
+                # Half a share of a block: a context with a whole share of all tokens has half of that or more from blocks where it is sent.
+                u, v, n = _hot(hashes, at, keys, counts, len(hashes) / (2 * shards))
+                for s in np.unique(model.word_shard(u)):
+                    pick = model.word_shard(u) == s
+                    rows.append((int(s), u[pick].tobytes(), v[pick].tobytes(), n[pick].astype(np.uint32).tobytes()))
+            yield _batch(rows)
 
     def write_words(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
-        keys, counts = _merged(rows)
+        plain = rows["words"].isna()
+        keys, counts = _merged(rows[plain])
         Files(root).write(f"word{s}", [keys.tobytes()])
         Files(root).write(f"seen{s}", [counts.astype(np.int64).tobytes()])
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(counts.max(initial=0))]})
-
-    found = docs.mapInArrow(count_words, SENT).union(every).groupBy("shard").applyInPandas(write_words, "shard int, n long, total long, most long").collect()
-    each = {r.shard: r for r in found}  # a row a shard
+        out = pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(counts.max(initial=0))], "u": [0], "v": [0]})
+        hot = rows[~plain]
+        if not len(hot):
+            return out
+        u, v, n = (np.frombuffer(b"".join(hot[c]), t) for c, t in (("keys", np.int64), ("words", np.int64), ("counts", np.uint32)))
+        sums = pd.DataFrame({"u": u, "v": v, "n": n.astype(np.int64)}).groupby(["u", "v"], as_index=False).sum()
+        return pd.concat([out, sums.assign(shard=-1, total=0, most=0)])[out.columns]
+
+    found = docs.mapInArrow(count_words, SENT).union(every).groupBy("shard").applyInPandas(write_words, "shard int, n long, total long, most long, u long, v long")
+    found = stored(found, "ngram-words")
+    each = {r.shard: r for r in found.filter("shard >= 0").collect()}  # a row a shard
     model.starts = np.concatenate([[0], np.cumsum([each[s].n for s in range(shards)])])
-    model.total = sum(r.total for r in found)
-    if model.size >= 1 << 32:
+    model.total = sum(r.total for r in each.values())
+    if model.size >= (1 << 32) - 1:
         raise ValueError("over 2**32 distinct words")
-    #: Contexts with more than a shard's share of all pairs, at most as many as shards; the driver reads no more.
+    #: Contexts with more than a shard's share of all tokens, at most as many as shards; the driver reads no more.
     heavy = []
     for s in range(shards):
         if each[s].most * shards > model.total:
@@ -228,35 +312,52 @@ def train(docs: DataFrame) -> Model:
             heavy += [int(i + model.starts[s]) for i in np.flatnonzero(np.asarray(counts) * shards > model.total)]
     texts = docs.count()
     heavy += [model.size] * (texts * shards > model.total)
-    model.heavy = np.sort(np.array(heavy, np.uint64))
-
-    def count_pairs(batches):
+    model.heavy[2] = np.sort(np.array(heavy, np.uint64))
+    hot = found.filter((F.col("shard") == -1) & (F.col("n") * (2 * shards) >= model.total)).select("u", "v").collect()  # at most twice as many as shards
+    hot = np.array([(r.u, r.v) for r in hot], np.int64).reshape(-1, 2).view(np.uint64)
+    known, back = np.unique(hot, return_inverse=True)
+    ids = np.where(known == START, model.size, model.ids(known))[back.ravel()].reshape(-1, 2).astype(np.uint64)
+    model.heavy[3] = np.sort(ids[:, 0] << np.uint64(32) | ids[:, 1])
+
+    def count_grams(batches):
         for hashes, at, _ in _tokens(batches):
-            _, _, _, ids, before = _pairs_of(model, hashes, at)
-            keys, counts = np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
-            yield _send(model.pair_shard(keys), keys, counts)
+            _, _, ids = _numbered(model, hashes)
+            del hashes
+            contexts, keys = _grams(_contexts(model, order, ids, at)[1], ids)
+            keys, counts = np.unique(keys, return_counts=True)
+            contexts, words = contexts[(keys >> np.uint64(32)).astype(np.int64)], keys & NONE
+            yield _batch(_send(model.dealt(order, contexts, words), contexts, words, counts))
 
-    def write_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        s = int(rows["shard"].iloc[0])
-        keys, counts = _merged(rows)
-        context = keys >> np.uint64(32)
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1).astype(np.float64)
-        context = context[heads]
-        files = Files(root)
-        files.write(f"pair{s}", [keys.tobytes()])
-        files.write(f"count{s}", [counts.astype(np.uint64).tobytes()])
-        files.write(f"context{s}", [context.tobytes()])
-        files.write(f"stats{s}", [stats.tobytes()])
-        out = [(-1, *_of(counts), None, None)]
-        out += [(-2, *map(int, stats[i]), int(context[i]), 0, None, None) for i in np.flatnonzero(blocks.find(model.heavy, context)[1])]
-        word, contexts = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        cuts = np.searchsorted(word, model.starts.astype(np.uint64))
-        out += [(t, 0, 0, 0, 0, 0, 0, blocks.pack_sorted(word[a:b]), blocks.planes(contexts[a:b].astype(np.uint32))) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        return pd.DataFrame(out, columns=["shard", "n1", "n2", "n3", "n4", "n3p", "total", "keys", "counts"])
-
-    pairs = docs.mapInArrow(count_pairs, SENT).union(every).groupBy("shard").applyInPandas(write_pairs, "shard int, n1 long, n2 long, n3 long, n4 long, n3p long, total long, keys binary, counts binary")
-    pairs = stored(pairs, "ngram-pairs")
+    cols = ["n1", "n2", "n3", "n4", "n3p", "total"]
+
+    def writer(k: int):
+        def write_grams(rows: pd.DataFrame) -> pd.DataFrame:
+            s = int(rows["shard"].iloc[0])
+            contexts, keys = _grams(np.concatenate([blocks.unpack_sorted(b) for b in rows["keys"]]), np.concatenate([blocks.unplanes(b, np.uint32) for b in rows["words"]]))
+            keys, counts = blocks.merge_counts([keys], [np.concatenate([blocks.unplanes(b, np.uint32) for b in rows["counts"]])])
+            place = (keys >> np.uint64(32)).astype(np.int64)
+            heads = np.searchsorted(place, np.arange(len(contexts)))
+            stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
+            files = Files(root)
+            files.write(f"context{k}-{s}", [contexts.tobytes()])
+            files.write(f"gram{k}-{s}", [keys.tobytes()])
+            files.write(f"count{k}-{s}", _coded(counts))
+            files.write(f"stats{k}-{s}", _coded(stats.ravel()))
+            out = [(-1, *_of(counts), 0, None, None, None)]
+            out += [(-2, *map(int, stats[i]), 0, 0, int(contexts[i].view(np.int64)), None, None, None) for i in np.flatnonzero(blocks.find(model.heavy[k], contexts)[1])]
+            words = keys & NONE
+            if k == 2:
+                words, n = np.unique(words, return_counts=True)
+                cuts = np.searchsorted(words, model.starts.astype(np.uint64))
+                sent = [(t, blocks.pack_sorted(words[a:b]), b"", blocks.planes(n[a:b].astype(np.uint32))) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            else:
+                pairs, n = np.unique((contexts[place] & NONE) << np.uint64(32) | words, return_counts=True)
+                below, words = pairs >> np.uint64(32), pairs & NONE
+                sent = _send(model.dealt(k - 1, below, words), below, words, n)
+            out += [(t, 0, 0, 0, 0, 0, 0, 0, *arrays) for t, *arrays in sent]
+            return pd.DataFrame(out, columns=["shard", *cols, "context", "keys", "words", "counts"])
+
+        return write_grams
 
     def write_contexts(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
@@ -264,18 +365,22 @@ def train(docs: DataFrame) -> Model:
         a = np.zeros(int(model.starts[s + 1] - model.starts[s]), np.int64)
         a[keys.astype(np.int64) - model.starts[s]] = counts
         Files(root).write(f"contexts{s}", [a.tobytes()])
-        return pd.DataFrame([(s, *_of(a))], columns=["shard", "n1", "n2", "n3", "n4", "n3p", "total"])
-
-    cols = ["n1", "n2", "n3", "n4", "n3p", "total"]
-    second = pairs.filter("shard = -1").agg(*[F.sum(c).alias(c) for c in cols]).first()
-    first = pairs.filter("shard >= 0").select("shard", "keys", "counts").union(every).groupBy("shard").applyInPandas(write_contexts, "shard int, " + ", ".join(f"{c} long" for c in cols)).collect()
-    heavy_rows = pairs.filter("shard = -2").groupBy("n3p").agg(*[F.sum(c).alias(c) for c in cols[:4]]).collect()  # one a heavy context
-    model.heavy_stats = np.zeros((len(model.heavy), 4))  # a heavy word that is no context, such as the end, keeps zeros
-    for r in heavy_rows:
-        model.heavy_stats[np.searchsorted(model.heavy, np.uint64(r.n3p))] = [r.n1, r.n2, r.n3, r.n4]
-    model.d2 = _discounts([second[c] or 0 for c in cols])
+        return pd.DataFrame([(s, *_of(a))], columns=["shard", *cols])
+
+    longs = ", ".join(f"{c} long" for c in cols)
+    sent = docs.mapInArrow(count_grams, SENT)
+    for k in range(order, 1, -1):
+        sent = sent.union(empty).groupBy("shard").applyInPandas(writer(k), f"shard int, {longs}, context long, keys binary, words binary, counts binary")
+        sent = stored(sent, f"ngram-{k}")
+        n = sent.filter("shard = -1").agg(*[F.sum(c).alias(c) for c in cols]).first()
+        model.discounts[k] = _discounts([n[c] or 0 for c in cols])
+        model.heavy_stats[k] = np.zeros((len(model.heavy[k]), 4))  # a heavy word that is no context, such as the end, keeps zeros
+        for r in sent.filter("shard = -2").groupBy("context").agg(*[F.sum(c).alias(c) for c in cols[:4]]).collect():  # one a heavy context
+            model.heavy_stats[k][np.searchsorted(model.heavy[k], np.int64(r.context).view(np.uint64))] = [r.n1, r.n2, r.n3, r.n4]
+        sent = sent.filter("shard >= 0").select("shard", "keys", "words", "counts")
+    first = sent.union(empty).groupBy("shard").applyInPandas(write_contexts, f"shard int, {longs}").collect()
     n = [sum(r[c] for r in first) for c in cols]
-    model.d1, model.unigram = _discounts(n), (n[5], n[0], n[1], n[4])
+    model.discounts[1], model.unigram = _discounts(n), (n[5], n[0], n[1], n[4])
     return model
 
 
@@ -289,10 +394,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches):
         n, v = model.total, model.size
-        free = [model.d1[0] * model.unigram[1] + model.d1[1] * model.unigram[2] + model.d1[2] * model.unigram[3], max(1, model.unigram[0])]
-        left = free[0] / free[1] if model.unigram[0] else 1.0
+        d1, below = model.discounts[1], max(1, model.unigram[0])
+        left = float(np.dot(d1, model.unigram[1:])) / below if model.unigram[0] else 1.0
         for hashes, at, kept in _tokens(batches):
-            _, known, back, ids, before = _pairs_of(model, hashes, at)
+            known, back, ids = _numbered(model, hashes)
             order = np.argsort(known, kind="stable")
             low = int(np.searchsorted(known[order], 0))
             seen, contexts = np.zeros(len(known)), np.zeros(len(known))
@@ -300,22 +405,17 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             seen[pick] = model.by_id("seen", np.int64, known[pick])
             contexts[pick] = model.by_id("contexts", np.int64, known[pick])
             base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))[back]
-            p1 = (_discounted(contexts, model.d1) / free[1] + left / (v + 1))[back]
-            p = p1.copy()
-            both = np.flatnonzero((ids >= 0) & (before >= 0))
-            keys, there = np.unique((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-            count, stats = model.pairs(keys)
-            have = stats[:, 0] > 0
-            total = np.where(have, stats[:, 0], 1)
-            u = np.where(have, _discounted(count, model.d2) / total, 0.0)
-            g = np.where(have, stats[:, 1:] @ np.array(model.d2) / total, 1.0)
-            p[both] = u[there] + g[there] * p1[both]
-            rest = np.flatnonzero((ids < 0) & (before >= 0))  # an unknown word still pays its context's way down
-            if len(rest):
-                held, back2 = np.unique(before[rest], return_inverse=True)
-                _, stats = model.pairs(held.astype(np.uint64) << np.uint64(32) | np.uint64(0xFFFFFFFF))
-                total = np.where(stats[:, 0] > 0, stats[:, 0], 1)
-                p[rest] = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(model.d2) / total, 1.0)[back2] * p1[rest]
+            p = (_discounted(contexts, d1) / below + left / (v + 1))[back]
+            for k in range(2, model.order + 1):
+                rows, held = _contexts(model, k, ids, at)  # an unknown word too pays its context's way down
+                held, keys = _grams(held, ids[rows])
+                keys, there = np.unique(keys, return_inverse=True)
+                count, stats = model.grams(k, held[(keys >> np.uint64(32)).astype(np.int64)], keys & NONE)
+                have, d = stats[:, 0] > 0, model.discounts[k]
+                total = np.where(have, stats[:, 0], 1)
+                u = np.where(have, _discounted(count, d) / total, 0.0)
+                g = np.where(have, stats[:, 1:] @ np.array(d) / total, 1.0)
+                p[rows] = u[there] + g[there] * p[rows]
             rows = pa.Table.from_batches(kept).select(keep).combine_chunks()
             columns = [rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in keep]
             columns += [pa.array(np.diff(at)), pa.array(blocks.row_sums((seen > 0).astype(np.int64)[back], at)), pa.array(np.full(len(at) - 1, n, np.int64))]
@@ -327,5 +427,5 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = train(docs.filter(~held_out()))
+    model = train(docs.filter(~held_out()), ORDER)
     return score(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -187,14 +187,16 @@ def test_language_model_base(spark, texts):
         assert math.isclose(rows[i].base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
 
 
-def plain_kneser_ney(corpus):
-    """p(word, context) of an interpolated modified Kneser-Ney bigram model, by counting; words outside share what is left of V + 1."""
-    pairs = collections.Counter()
+def plain_kneser_ney(corpus, order):
+    """p(word, context) of an interpolated modified Kneser-Ney model, by counting; words outside share what is left of V + 1."""
+    top = collections.Counter()
     for text in corpus:
-        w = [*WORD.findall(text.translate(LOWER)), None]
-        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-    words = {w for _, w in pairs}
-    held = collections.Counter(w for _, w in pairs)
+        w = [*["<s>"] * (order - 1), *WORD.findall(text.translate(LOWER)), None]
+        top.update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    grams = {order: top}
+    for k in range(order - 1, 0, -1):
+        grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
+    words = {g[-1] for g in top}
 
     def discounts(counts):
         n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
@@ -204,34 +206,44 @@ def plain_kneser_ney(corpus):
         raw = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
         return [min(max(d, 0), k) for d, k in zip(raw, (1, 2, 3), strict=True)]
 
-    d1, d2 = discounts(held.values()), discounts(pairs.values())
-    cut = lambda c, d: d[min(c, 3) - 1] if c else 0
-    below, v = sum(held.values()), len(words)
-    low = lambda w: (held[w] - cut(held[w], d1)) / below + sum(cut(c, d1) for c in held.values()) / below / (v + 1)
+    d = {k: discounts(g.values()) for k, g in grams.items()}
+    cut = lambda c, k: d[k][min(c, 3) - 1] if c else 0
 
     def p(w, context):
-        mine = {x: c for (u, x), c in pairs.items() if u == context}
+        k = len(context) + 1
+        low = p(w, context[1:]) if k > 1 else 1 / (len(words) + 1)
+        mine = {g[-1]: c for g, c in grams[k].items() if g[:-1] == context}
         if not mine:
-            return low(w)
+            return low
         total = sum(mine.values())
-        return (mine.get(w, 0) - cut(mine.get(w, 0), d2)) / total + sum(cut(c, d2) for c in mine.values()) / total * low(w)
+        return (mine.get(w, 0) - cut(mine.get(w, 0), k)) / total + sum(cut(c, k) for c in mine.values()) / total * low
 
     return words, p
 
 
-def test_language_model_against_a_plain_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_against_a_plain_one(spark, order):
     rng = np.random.default_rng(2)
     corpus = [" ".join(rng.choice(["a", "b", "c", "d", "ee", "f"], rng.integers(0, 12), p=[0.4, 0.2, 0.15, 0.1, 0.1, 0.05])) for _ in range(60)]
-    words, p = plain_kneser_ney(corpus)
-    for context in ["<s>", *(w for w in words if w is not None), "new"]:
+    corpus += ["a b " * 400, *["c d"] * 300]  # counts of over a byte, and contexts dealt by n-gram
+    words, p = plain_kneser_ney(corpus, order)
+    for last in ["<s>", *(w for w in words if w is not None), "new"]:
+        context = ("a", last)[-(order - 1) :]
         assert math.isclose(sum(p(w, context) for w in words) + p("unseen", context), 1, rel_tol=1e-9)
-    assert sum(p(w, "a") > 0 for w in words) == len(words) and p("unseen", "a") > 0
-    model = ngram_lm.train(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
-    texts = [*corpus[:20], "", "zzz", "a zzz b", "zzz zzz", "ee f A"]
+    model = ngram_lm.train(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"), order)
+    assert len(model.heavy[2]) and (order == 2 or len(model.heavy[3]) > 2)
+    texts = [*corpus[:20], "", "zzz", "a zzz b", "zzz zzz", "ee f A", "a b a b", "c d c", "a b zzz c"]
     got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()}
     for i, t in enumerate(texts):
-        w = [*WORD.findall(t.translate(LOWER)), None]
-        assert math.isclose(got[i], sum(math.log10(p(x, u)) for u, x in zip(["<s>", *w[:-1]], w, strict=True)), rel_tol=1e-9), t
+        w = [*["<s>"] * (order - 1), *WORD.findall(t.translate(LOWER)), None]
+        assert math.isclose(got[i], sum(math.log10(p(w[j], tuple(w[j - order + 1 : j]))) for j in range(order - 1, len(w))), rel_tol=1e-9), t
+
+
+def test_language_model_prefers_what_it_has_read(spark):
+    """Texts in the corpus score better than the same words in another order of triples."""
+    model = ngram_lm.train(spark.createDataFrame([(1, "a b c"), (2, "d b e"), (3, "a b c"), (4, "d b e")], "doc_id long, text string"))
+    got = {r.text: r.score for r in ngram_lm.score(spark.createDataFrame([("a b c",), ("a b e",)], "text string"), model, ["text"]).collect()}
+    assert got["a b c"] > got["a b e"]
 
 
 def test_secrets_base_spans(spark, texts):
