@@ -45,7 +45,7 @@ START = np.uint64(0x535441)
 NONE = np.uint64(0xFFFFFFFF)  # the number of an unknown word within a key
 ORDER = 3
 BLOCK = 1_500_000  # tokens counted or scored at once
-SHARD_INPUT = 16 << 20  # bytes of input by shard
+SHARD_INPUT = 4 << 20  # bytes of input by shard
 FEW = (0.5, 1.0, 1.5)  # discounts that counts cannot tell
 _maps: dict = {}
 
@@ -330,11 +330,17 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 
     cols = ["n1", "n2", "n3", "n4", "n3p", "total"]
 
+    def wide(b: bytes) -> np.ndarray:
+        return blocks.unplanes(b, np.uint32)
+
     def writer(k: int):
         def write_grams(rows: pd.DataFrame) -> pd.DataFrame:
             s = int(rows["shard"].iloc[0])
-            contexts, keys = _grams(np.concatenate([blocks.unpack_sorted(b) for b in rows["keys"]]), np.concatenate([blocks.unplanes(b, np.uint32) for b in rows["words"]]))
-            keys, counts = blocks.merge_counts([keys], [np.concatenate([blocks.unplanes(b, np.uint32) for b in rows["counts"]])])
+            contexts, words, counts = (np.concatenate([f(b) for b in rows[c]]) for c, f in (("keys", blocks.unpack_sorted), ("words", wide), ("counts", wide)))
+            del rows
+            contexts, keys = _grams(contexts, words)
+            del words
+            keys, counts = blocks.merge_counts([keys], [counts])
             place = (keys >> np.uint64(32)).astype(np.int64)
             heads = np.searchsorted(place, np.arange(len(contexts)))
             stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
