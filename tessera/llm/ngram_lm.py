@@ -44,7 +44,7 @@ END = np.uint64(0x454E44)
 START = np.uint64(0x535441)
 NONE = np.uint64(0xFFFFFFFF)  # the number of an unknown word within a key
 ORDER = 3
-BLOCK = 1_500_000  # tokens counted or scored at once
+BLOCK = 700_000  # tokens counted or scored at once
 SHARD_INPUT = 4 << 20  # bytes of input by shard
 FEW = (0.5, 1.0, 1.5)  # discounts that counts cannot tell
 _maps: dict = {}
