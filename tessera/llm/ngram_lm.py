@@ -32,11 +32,12 @@ import os
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.common import Files, documents, input_bytes, scratch, stored
+from tessera.llm.common import Files, documents, input_bytes, remove, scratch, stored
 
 #: The end of a text among word hashes.
 END = np.uint64(0x454E44)
@@ -47,7 +48,6 @@ ORDER = 3
 BLOCK = 700_000  # tokens counted or scored at once
 SHARD_INPUT = 4 << 20  # bytes of input by shard
 FEW = (0.5, 1.0, 1.5)  # discounts that counts cannot tell
-_maps: dict = {}
 
 
 def held_out() -> Column:
@@ -77,6 +77,14 @@ def _tokens(batches, extra: int = 0):
         yield done()
 
 
+def _zip(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b)
+
+
+def _unzip(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b) if b else b
+
+
 def _send(shards: np.ndarray, keys: np.ndarray, words: np.ndarray | None, counts: np.ndarray) -> list[tuple]:
     """One row a shard: its keys (words or contexts), ascending, the words after contexts, and counts."""
     order = np.argsort(shards, kind="stable")
@@ -86,7 +94,7 @@ def _send(shards: np.ndarray, keys: np.ndarray, words: np.ndarray | None, counts
         return []
     heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
     ends = [*heads[1:], len(shards)]
-    return [(int(shards[a]), blocks.pack_sorted(keys[a:b]), None if words is None else blocks.planes(words[a:b]), blocks.planes(counts[a:b])) for a, b in zip(heads, ends, strict=True)]
+    return [(int(shards[a]), _zip(blocks.pack_sorted(keys[a:b])), None if words is None else _zip(blocks.planes(words[a:b])), _zip(blocks.planes(counts[a:b]))) for a, b in zip(heads, ends, strict=True)]
 
 
 SENT = "shard int, keys binary, words binary, counts binary"
@@ -98,7 +106,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merged(rows: pd.DataFrame):
-    return blocks.merge_counts([blocks.unpack_sorted(b) for b in rows["keys"]], [blocks.unplanes(b, np.uint32) for b in rows["counts"]])
+    return blocks.merge_counts([blocks.unpack_sorted(_unzip(b)) for b in rows["keys"]], [blocks.unplanes(_unzip(b), np.uint32) for b in rows["counts"]])
 
 
 def _coded(x: np.ndarray) -> list[bytes]:
@@ -119,7 +127,7 @@ def _of(counts: np.ndarray) -> list[int]:
 
 
 class Model:
-    """What workers need: the folder, the shards and a few numbers. Arrays are mapped on first use."""
+    """What workers need: the folder, the shards and a few numbers. Arrays are mapped where they are used."""
 
     def __init__(self, root: str, shards: int, order: int):
         self.root, self.shards, self.order = root, shards, order
@@ -136,12 +144,9 @@ class Model:
         return int(self.starts[-1])
 
     def array(self, name: str, dtype) -> np.ndarray:
-        if (self.root, name) not in _maps:
-            if _maps and next(iter(_maps))[0] != self.root:
-                _maps.clear()
-            path = Files(self.root).path(name)  # every shard has its files, so a missing one is an error
-            _maps[self.root, name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-        return _maps[self.root, name]
+        """Mapped anew at each use, so that a worker holds pages of one shard at a time."""
+        path = Files(self.root).path(name)  # every shard has its files, so a missing one is an error
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
@@ -336,7 +341,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     def writer(k: int):
         def write_grams(rows: pd.DataFrame) -> pd.DataFrame:
             s = int(rows["shard"].iloc[0])
-            contexts, words, counts = (np.concatenate([f(b) for b in rows[c]]) for c, f in (("keys", blocks.unpack_sorted), ("words", wide), ("counts", wide)))
+            contexts, words, counts = (np.concatenate([f(_unzip(b)) for b in rows[c]]) for c, f in (("keys", blocks.unpack_sorted), ("words", wide), ("counts", wide)))
             del rows
             contexts, keys = _grams(contexts, words)
             del words
@@ -355,7 +360,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             if k == 2:
                 words, n = np.unique(words, return_counts=True)
                 cuts = np.searchsorted(words, model.starts.astype(np.uint64))
-                sent = [(t, blocks.pack_sorted(words[a:b]), b"", blocks.planes(n[a:b].astype(np.uint32))) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                sent = [(t, _zip(blocks.pack_sorted(words[a:b])), b"", _zip(blocks.planes(n[a:b].astype(np.uint32)))) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             else:
                 pairs, n = np.unique((contexts[place] & NONE) << np.uint64(32) | words, return_counts=True)
                 below, words = pairs >> np.uint64(32), pairs & NONE
@@ -374,10 +379,13 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         return pd.DataFrame([(s, *_of(a))], columns=["shard", *cols])
 
     longs = ", ".join(f"{c} long" for c in cols)
-    sent = docs.mapInArrow(count_grams, SENT)
+    sent, used = docs.mapInArrow(count_grams, SENT), None
     for k in range(order, 1, -1):
         sent = sent.union(empty).groupBy("shard").applyInPandas(writer(k), f"shard int, {longs}, context long, keys binary, words binary, counts binary")
         sent = stored(sent, f"ngram-{k}")
+        if used:  # the order above, now counted
+            remove(spark, used)
+        used = os.path.dirname(sent.inputFiles()[0])
         n = sent.filter("shard = -1").agg(*[F.sum(c).alias(c) for c in cols]).first()
         model.discounts[k] = _discounts([n[c] or 0 for c in cols])
         model.heavy_stats[k] = np.zeros((len(model.heavy[k]), 4))  # a heavy word that is no context, such as the end, keeps zeros
@@ -385,6 +393,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             model.heavy_stats[k][np.searchsorted(model.heavy[k], np.int64(r.context).view(np.uint64))] = [r.n1, r.n2, r.n3, r.n4]
         sent = sent.filter("shard >= 0").select("shard", "keys", "words", "counts")
     first = sent.union(empty).groupBy("shard").applyInPandas(write_contexts, f"shard int, {longs}").collect()
+    remove(spark, used)
     n = [sum(r[c] for r in first) for c in cols]
     model.discounts[1], model.unigram = _discounts(n), (n[5], n[0], n[1], n[4])
     return model
