@@ -8,7 +8,8 @@ shards are ranges of the word hash, others hashes of the context; contexts with
 shard's share of the tokens are dealt by n-gram, and only their totals are joined up again. Number of shards
 follows the input, so a reducer's memory does not. The model holds every n-gram of the corpus.
 
-Scoring. Workers map the files and look up the sorted distinct keys of a block of texts.
+Scoring. Workers map the files and look up the sorted distinct keys of a block of texts: a context by search among its
+shard's, then a word by search among the 4-byte words after that context.
 
   p(w|uv) = (c(uvw) - D(c)) / c(uv.) + g(uv) p(w|v)
   p(w|v) = (a(vw) - D'(a)) / a(v.) + g(v) p(w)
@@ -115,6 +116,21 @@ def _coded(x: np.ndarray) -> list[bytes]:
     return [np.array([len(big)], np.uint64).tobytes(), big.astype(np.int64).tobytes(), x[big].astype(np.int64).tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes()]
 
 
+def _within(table: np.ndarray, low: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the ascending part of the table from low to end, each its own, and whether they are there."""
+    low, high = low.copy(), end.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        below = table[mid] < keys[open_]
+        low[open_[below]] = mid[below] + 1
+        high[open_[~below]] = mid[~below]
+        open_ = open_[low[open_] < high[open_]]
+    there = low < end
+    there[there] = table[low[there]] == keys[there]
+    return low, there
+
+
 def _grams(contexts: np.ndarray, words: np.ndarray):
     """Distinct contexts, and each row's key: the place of its context, then its word."""
     distinct, place = np.unique(contexts, return_inverse=True)
@@ -162,14 +178,14 @@ class Model:
                 out[a:b] = np.where(there, at + self.starts[s], -1)
         return out
 
-    def by_id(self, name: str, dtype, ids: np.ndarray) -> np.ndarray:
-        """Values of an array by word number; ids ascending."""
-        out = np.zeros(len(ids), dtype)
+    def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
+        """Values of a coded array by word number; ids ascending."""
+        out = np.zeros(len(ids), np.int64)
         cuts = np.searchsorted(ids, self.starts)
         for s in range(self.shards):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
-                out[a:b] = self.array(f"{name}{s}", dtype)[ids[a:b] - self.starts[s]]
+                out[a:b] = self.numbers(f"{name}{s}", ids[a:b] - self.starts[s])
         return out
 
     def numbers(self, name: str, at: np.ndarray) -> np.ndarray:
@@ -200,8 +216,11 @@ class Model:
             pick, at = pick[there], at[there]
             if not len(pick):
                 continue
-            stats[pick] = self.numbers(f"stats{k}-{s}", (at[:, None] * 4 + np.arange(4)).ravel()).reshape(-1, 4)
-            at, there = blocks.find(self.array(f"gram{k}-{s}", np.uint64), at.astype(np.uint64) << np.uint64(32) | words[pick])
+            first = self.array(f"first{k}-{s}", np.uint32)
+            a, b = first[at].astype(np.int64), first[at + 1].astype(np.int64)
+            stats[pick, :3] = self.numbers(f"stats{k}-{s}", (at[:, None] * 3 + np.arange(3)).ravel()).reshape(-1, 3)
+            stats[pick, 3] = b - a - stats[pick, 1] - stats[pick, 2]
+            at, there = _within(self.array(f"next{k}-{s}", np.uint32), a, b, words[pick].astype(np.uint32))
             count[pick[there]] = self.numbers(f"count{k}-{s}", at[there])
         at, there = blocks.find(self.heavy[k], contexts)
         if there.any():
@@ -293,7 +312,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         plain = rows["words"].isna()
         keys, counts = _merged(rows[plain])
         Files(root).write(f"word{s}", [keys.tobytes()])
-        Files(root).write(f"seen{s}", [counts.astype(np.int64).tobytes()])
+        Files(root).write(f"seen{s}", _coded(counts))
         out = pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(counts.max(initial=0))], "u": [0], "v": [0]})
         hot = rows[~plain]
         if not len(hot):
@@ -313,8 +332,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     heavy = []
     for s in range(shards):
         if each[s].most * shards > model.total:
-            counts = np.memmap(Files(root).path(f"seen{s}"), np.int64, "r")
-            heavy += [int(i + model.starts[s]) for i in np.flatnonzero(np.asarray(counts) * shards > model.total)]
+            counts = model.numbers(f"seen{s}", np.arange(each[s].n))
+            heavy += [int(i + model.starts[s]) for i in np.flatnonzero(counts * shards > model.total)]
     texts = docs.count()
     heavy += [model.size] * (texts * shards > model.total)
     model.heavy[2] = np.sort(np.array(heavy, np.uint64))
@@ -351,9 +370,12 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             stats = np.stack([np.add.reduceat(x.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
             files = Files(root)
             files.write(f"context{k}-{s}", [contexts.tobytes()])
-            files.write(f"gram{k}-{s}", [keys.tobytes()])
+            if len(keys) >= 1 << 32:
+                raise ValueError("over 2**32 n-grams in a shard")
+            files.write(f"first{k}-{s}", [np.append(heads, len(keys)).astype(np.uint32).tobytes()])
+            files.write(f"next{k}-{s}", [(keys & NONE).astype(np.uint32).tobytes()])
             files.write(f"count{k}-{s}", _coded(counts))
-            files.write(f"stats{k}-{s}", _coded(stats.ravel()))
+            files.write(f"stats{k}-{s}", _coded(stats[:, :3].ravel()))  # the fourth follows from how many words there are
             out = [(-1, *_of(counts), 0, None, None, None)]
             out += [(-2, *map(int, stats[i]), 0, 0, int(contexts[i].view(np.int64)), None, None, None) for i in np.flatnonzero(blocks.find(model.heavy[k], contexts)[1])]
             words = keys & NONE
@@ -375,7 +397,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         keys, counts = _merged(rows)
         a = np.zeros(int(model.starts[s + 1] - model.starts[s]), np.int64)
         a[keys.astype(np.int64) - model.starts[s]] = counts
-        Files(root).write(f"contexts{s}", [a.tobytes()])
+        Files(root).write(f"contexts{s}", _coded(a))
         return pd.DataFrame([(s, *_of(a))], columns=["shard", *cols])
 
     longs = ", ".join(f"{c} long" for c in cols)
@@ -417,8 +439,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             low = int(np.searchsorted(known[order], 0))
             seen, contexts = np.zeros(len(known)), np.zeros(len(known))
             pick = order[low:]
-            seen[pick] = model.by_id("seen", np.int64, known[pick])
-            contexts[pick] = model.by_id("contexts", np.int64, known[pick])
+            seen[pick] = model.by_id("seen", known[pick])
+            contexts[pick] = model.by_id("contexts", known[pick])
             base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))[back]
             p = (_discounted(contexts, d1) / below + left / (v + 1))[back]
             for k in range(2, model.order + 1):
