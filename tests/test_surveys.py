@@ -1,6 +1,8 @@
 """Detector stage, polygons, projections, settings and sinks on small cases."""
 
 import json
+import sqlite3
+import struct
 
 import numpy as np
 import pytest
@@ -155,6 +157,27 @@ def test_scenes_without_boxes_and_null_edges(spark, tmp_path):
     assert geopackage.layer_name("__") == "detections" and geopackage.layer_name("a b!") == "a_b"
 
 
+def test_geopackage_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geopackage, "SHARE", 700, raising=False)
+    monkeypatch.setattr(geopackage, "BLOCK", 300, raising=False)
+    i = F.col("id")
+    boxes = spark.range(0, 5000, 1, 7).select(*[(F.when(i % 10 > 0, i) if c == "map_xmin" else i + k).cast("double").alias(c) for k, c in enumerate(geopackage.MAP)], F.when(i % 3 > 0, i.cast("string")).alias("class_name"), F.when(i % 4 > 0, i / 5000).alias("confidence"))
+    path = f"file://{tmp_path}/a b%.gpkg"
+    assert geopackage.write(boxes, path, "x", 32619) == 4500 and [p.name for p in tmp_path.iterdir()] == ["a b%.gpkg"]
+    back = geopackage.read(spark, path)
+    assert "MapInArrow" in back._jdf.queryExecution().executedPlan().toString() and back.rdd.getNumPartitions() == 7  # not from a list of the driver's
+    want = [(*(float(k + d) for d in range(4)), str(k) if k % 3 else None, k / 5000 if k % 4 else None, None) for k in range(5000) if k % 10]
+    assert [tuple(r) for r in back.collect()] == want
+    db = sqlite3.connect(tmp_path / "a b%.gpkg")
+    assert db.execute("SELECT min_x, min_y, max_x, max_y, srs_id FROM gpkg_contents").fetchall() == [(1, 2, 5001, 5002, 32619)]
+    geom = db.execute("SELECT geom FROM x WHERE fid = 1").fetchone()[0]
+    assert geom == b"GP\x00\x01" + struct.pack("<ibIII10d", 32619, 1, 3, 1, 5, 1, 2, 3, 2, 3, 4, 1, 4, 1, 2) and db.execute("PRAGMA application_id").fetchone() == (0x47504B47,)
+    none = f"{tmp_path}/none.gpkg"
+    assert geopackage.write(boxes.filter("id < 0"), none, "x", 4326) == 0 and geopackage.read(spark, none).collect() == []
+    with pytest.raises(ValueError):
+        geopackage.write(boxes, "hdfs://a/b.gpkg", "x", 4326)
+
+
 def test_durations_and_labels(spark):
     rows = spark.createDataFrame([(-3.0,), (0.5,), (61.4,), (3723.0,)], "s double").select(P.duration(F.col("s")).alias("d")).collect()
     assert [r.d for r in rows] == ["0s", "0s", "1m01s", "1h02m03s"]
