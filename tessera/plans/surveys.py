@@ -118,7 +118,7 @@ query("polygon_difference", f"SELECT scene_id, count(*)::DOUBLE AS area FROM (SE
     lambda s, d: V.overlay(rings(S.detections(s, d)), rings(S.canopy(s, d), _canopy)).groupBy("scene_id").agg(F.round(F.sum(V.piece_area()), 4).alias("area"))
 )
 query("cells_clipped_by_union", f"SELECT scene_id, ((y // 32) * 32 + x // 32)::INT AS cell_id, count(*)::DOUBLE AS area FROM (SELECT DISTINCT * FROM ({_all})) GROUP BY 1, 2")(
-    lambda s, d: V.overlay(rings(S.detections(s, d)), size=32.0).groupBy("scene_id", (F.floor((F.col("low_a") + F.col("high_b")) / 64) * 32 + F.floor((F.col("xa") + F.col("xb")) / 64)).cast("int").alias("cell_id")).agg(F.round(F.sum(V.piece_area()), 4).alias("area"))
+    lambda s, d: V.overlay_area(rings(S.detections(s, d)), size=32.0).select("scene_id", (F.col("gy") * 32 + F.col("gx")).cast("int").alias("cell_id"), F.round("area", 4).alias("area"))
 )
 
 # Places on the globe from the boxes' numbers.

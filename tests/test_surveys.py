@@ -43,6 +43,33 @@ def test_overlay_of_crossing_rings():
     assert total(polygons.trapezoids(rings[:8], rings[8:])) == pytest.approx(100 * held.mean(), abs=1.0)
 
 
+def test_overlay_of_many_squares(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rings = {s: [[*map(tuple, (rng.uniform(-60, 300, 2) + rng.uniform(0, r, (k, 2))).tolist())] for r, k in zip(rng.choice([3, 30, 200], 25), rng.integers(3, 7, 25), strict=True)] for s in (0, 1, 2, None)}
+    frame = lambda part: spark.createDataFrame([(s, r) for s in rings for r in rings[s][part]], "scene_id long, ring array<struct<x:double,y:double>>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        pieces = polygons.overlay(frame(slice(0, 18)), frame(slice(18, 25)), size=8.0)
+        squares = polygons.overlay_area(frame(slice(0, 18)), frame(slice(18, 25)), size=8.0)
+        assert not any("GroupsInPandas" in d._jdf.queryExecution().executedPlan().toString() for d in (pieces, squares))  # no call a square
+        by = {r.scene_id: r.a for r in pieces.groupBy("scene_id").agg(F.sum(polygons.piece_area()).alias("a")).collect()}
+        cells = squares.collect()
+        want = {(r.scene_id, int((r.xa + r.xb) // 16), int((r.low_a + r.high_b) // 16)) for r in pieces.collect() if r.xb - r.xa > 1e-6 and min(r.high_a - r.low_a, r.high_b - r.low_b) > 1e-6}
+        assert polygons.overlay(frame(slice(0, 0))).collect() == polygons.overlay_area(frame(slice(0, 0))).collect() == []
+    finally:
+        spark.conf.set(name, before)
+    assert len({(r.scene_id, r.gx, r.gy) for r in cells}) == len(cells) and want <= {(r.scene_id, r.gx, r.gy) for r in cells}
+    for s, r in rings.items():
+        r = [np.array(x) for x in r]
+        whole = polygons.trapezoids(r[:18], r[18:])
+        assert by[s] == pytest.approx(total(whole)) == pytest.approx(sum(c.area for c in cells if c.scene_id == s))
+        with monkeypatch.context() as m:
+            m.setattr(polygons, "PAIRS", 40, raising=False)
+            assert polygons.trapezoids(r[:18], r[18:]) == whole
+
+
 def test_rings_as_columns(spark):
     rows = [(0, 1, [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)]), (0, 2, None), (0, 3, []), (0, 4, [(5.0, 5.0)]), (0, 5, [(1.0, None), (2.0, 2.0), (3.0, 1.0)])]
     shapes = spark.createDataFrame(rows, RING)
