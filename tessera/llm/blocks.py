@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,19 @@ def chunks(data: np.ndarray, at: np.ndarray, most: int = CHUNK) -> Iterator[tupl
         i = j
 
 
+def settled(run: Callable) -> Callable:
+    """run over batches; at its end what its arrays have freed goes back to the system. Workers stay, and would hold it beside the next task."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; none goes over the end of a row."""
     if not len(data):

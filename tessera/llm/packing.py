@@ -28,6 +28,7 @@ from tessera.llm.encoding import encoder, with_end
 
 WIDTH, END = 2048, 1
 CHUNK_ROWS, CHUNKS = 20_000, 4096
+CODED = 2 << 20  # bytes encoded at once; arrays of some fifty bytes for each are held meanwhile
 RANKS = 1 << 44  # ranks of one length; lengths are told apart above it
 
 
@@ -45,7 +46,7 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH, end: int = END) -> Da
         encode = encoder(path, spaces=False, lower=True).encode
         for batch in batches:
             data, at = blocks.buffers(batch.column("text"))
-            for i, j, part, offsets in blocks.chunks(data, at, 4 << 20):
+            for i, j, part, offsets in blocks.chunks(data, at, CODED):
                 ids, rows = with_end(*encode(part, offsets), end)
                 ids = ids.astype("<u4")
                 total = np.diff(rows)
@@ -57,7 +58,7 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH, end: int = END) -> Da
                 crc = [zlib.crc32(ids[b : b + k].data) for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[owner])], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text").mapInArrow(blocks.settled(run), ", ".join(f"{c} long" for c in names))
 
 
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:

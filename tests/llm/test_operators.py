@@ -361,3 +361,43 @@ def test_fingerprints_of_long_texts(spark):
     assert math.isclose(rows[1].near_next, cosine(1, 2), abs_tol=1e-9) and math.isclose(rows[1].near_edited, cosine(1, 3), abs_tol=1e-9)
     assert rows[1].near_next < 0.5 < rows[1].near_edited
     assert rows[1].fingerprint.endswith("".join(f"{x:08x}" for x in want[1]))
+
+
+def test_packing_gives_memory_back():
+    import ctypes
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    run = packing.pieces(Frame(), packing.tokenizer_path())
+    text = " ".join(f"w{i * 7919 % 500}" for i in range(3000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": [text] * 600})
+    first = [b.to_pydict() for b in run([batch.slice(0, 1)])]
+    tracemalloc.start()
+    try:
+        rest = [b.to_pydict() for b in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert {tuple(b["ids_crc32"][: len(first[0]["start"])]) for b in rest} == {tuple(first[0]["ids_crc32"])} and sum(b["start"].count(0) for b in rest) == 600
+    assert peak < 100  # MB, for 9 MB of text
+
+    def hold(batches):
+        for _ in batches:
+            small = [bytes(1000) for _ in range(200_000)]
+            last = bytes(1000)
+            del small
+            yield last
+
+    from tessera.llm import blocks
+
+    ctypes.CDLL(None).malloc_trim(0)
+    before = held()
+    assert len(list(blocks.settled(hold)([1]))) == 1 and held() - before < 100
